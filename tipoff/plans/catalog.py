@@ -1,6 +1,6 @@
 """All named queries."""
 
-from tipoff.plans import history_queries, scalar_queries  # noqa: F401
+from tipoff.plans import aggregate_queries, history_queries, scalar_queries  # noqa: F401
 from tipoff.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
