@@ -581,7 +581,7 @@ def tier_placeholders(spark, folder):
     "schedule_rollup",
     f"""
 WITH g AS (
-  SELECT l.l_orderkey AS schedule, c.c_acctbal / 400.0 AS host, s.s_acctbal / 400.0 AS opp, CAST(l.l_partkey % 350 + 1 AS DOUBLE) AS rank,
+  SELECT l.l_orderkey AS schedule, ROUND(c.c_acctbal) / 512.0 AS host, ROUND(s.s_acctbal) / 512.0 AS opp, CAST(l.l_partkey % 350 + 1 AS DOUBLE) AS rank,
     CASE l.l_linenumber % 3 WHEN 0 THEN 'Home' WHEN 1 THEN 'Neutral' ELSE 'Away' END AS site
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
     JOIN supplier s ON s.s_suppkey = l.l_suppkey),
@@ -591,7 +591,7 @@ w AS (SELECT *, 1 / (1 + POW(2.718281828, -((host + adj - opp) / 6.5))) AS pw, o
     WHEN 'Neutral' THEN CASE WHEN rank <= 50 THEN 1 WHEN rank <= 100 THEN 2 WHEN rank <= 200 THEN 3 ELSE 4 END
     ELSE CASE WHEN rank <= 75 THEN 1 WHEN rank <= 135 THEN 2 WHEN rank <= 240 THEN 3 ELSE 4 END END AS q FROM p)
 SELECT schedule, COUNT(*) AS games, ROUND(SUM(pw), 6) AS expected_wins, ROUND(COUNT(*) - SUM(pw), 6) AS expected_losses,
-  ROUND(AVG(pw), 6) AS win_pct, ROUND(AVG(oa), 6) AS avg_opponent, COUNT(*) FILTER (site = 'Home') AS home,
+  ROUND(AVG(pw), 6) AS win_pct, ROUND(AVG(oa), 9) AS avg_opponent, COUNT(*) FILTER (site = 'Home') AS home,
   COUNT(*) FILTER (site = 'Neutral') AS neutral, COUNT(*) FILTER (site = 'Away') AS away, COUNT(*) FILTER (q = 1) AS q1,
   COUNT(*) FILTER (q = 2) AS q2, COUNT(*) FILTER (q = 3) AS q3, COUNT(*) FILTER (q = 4) AS q4,
   COUNT(*) FILTER (rank <= 100) AS top100, COUNT(*) FILTER (rank <= 200) AS top200, COUNT(*) FILTER (rank > 250) AS buy251,
@@ -603,8 +603,8 @@ FROM w GROUP BY 1
 )
 def schedule_rollup(spark, folder):
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("schedule"), F.col("o_custkey").alias("c_custkey"))
-    customers = table(spark, folder, "customer").select("c_custkey", (F.col("c_acctbal") / 400.0).alias("host"))
-    suppliers = table(spark, folder, "supplier").select("s_suppkey", (F.col("s_acctbal") / 400.0).alias("opp"))
+    customers = table(spark, folder, "customer").select("c_custkey", (F.round("c_acctbal") / 512.0).alias("host"))
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", (F.round("s_acctbal") / 512.0).alias("opp"))
     third = F.col("l_linenumber") % 3
     games = (
         table(spark, folder, "lineitem")
@@ -620,10 +620,10 @@ def schedule_rollup(spark, folder):
     difficulty = A.difficulty_rank(
         F.col("avg_opponent"), F.col("home"), F.col("neutral"), F.col("games"), (180.0, -2.5, 20.0, -5.0)
     )
-    out = out.withColumn("difficulty", difficulty)
+    out = out.withColumns({"difficulty": difficulty, "avg_opponent": F.round("avg_opponent", 9)})
     return out.select(
         *[
-            (r6(c) if c in ("expected_wins", "expected_losses", "win_pct", "avg_opponent") else F.col(c)).alias(c)
+            (r6(c) if c in ("expected_wins", "expected_losses", "win_pct") else F.col(c)).alias(c)
             for c in out.columns
         ]
     )
