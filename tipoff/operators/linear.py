@@ -60,9 +60,11 @@ def column_medians(df: DataFrame, columns: Sequence[str], rows: int | None = Non
     return {c: (row[c] if row is not None and row[c] is not None else 0.0) for c in columns}
 
 
-def fit_spec(df: DataFrame, columns: Sequence[str], group_column: str | None = None) -> FeatureSpec:
+def fit_spec(
+    df: DataFrame, columns: Sequence[str], group_column: str | None = None, rows: int | None = None
+) -> FeatureSpec:
     columns = list(columns)
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     mids = column_medians(df, columns, rows)
     filled = {c: F.coalesce(finite(c), F.lit(mids[c])) for c in columns}
     stats = df.agg(
@@ -158,10 +160,15 @@ class RidgeModel:
 
 
 def fit_ridge(
-    df: DataFrame, columns: Sequence[str], target: Column, alpha: float, group_column: str | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    target: Column,
+    alpha: float,
+    group_column: str | None = None,
+    rows: int | None = None,
 ) -> RidgeModel:
-    """Ridge with an unpenalised intercept on imputed, scaled features."""
-    spec = fit_spec(df, columns, group_column)
+    """Ridge with an unpenalised intercept on imputed, scaled features; `rows` saves a count."""
+    spec = fit_spec(df, columns, group_column, rows)
     gram, moment = cross_products(df, design(spec), target)
     penalty = np.eye(len(moment)) * alpha
     penalty[0, 0] = 0.0
@@ -194,17 +201,17 @@ def calibration_report(df: DataFrame, terms: Sequence[Column], target: Column, s
     }
 
 
-def observed_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns with at least one finite value."""
-    if not columns:
-        return []
-    row = df.agg(*[F.count(finite(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[f"n{i}"]]
+def observed_columns(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], int]:
+    """Columns with at least one finite value, and the number of rows."""
+    row = df.agg(F.count("*").alias("n"), *[F.count(finite(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if row[f"n{i}"]], row["n"]
 
 
-def correlation_scores(df: DataFrame, columns: Sequence[str], target: Column) -> list[tuple[float, str]]:
+def correlation_scores(
+    df: DataFrame, columns: Sequence[str], target: Column, rows: int | None = None
+) -> list[tuple[float, str]]:
     """Absolute correlation with the target after median imputation; flat columns are left out."""
-    mids = column_medians(df, columns, df.count())
+    mids = column_medians(df, columns, df.count() if rows is None else rows)
     row = df.agg(
         *[
             F.corr(F.coalesce(finite(c), F.lit(mids[c])), target.cast("double")).alias(f"r{i}")
@@ -216,12 +223,17 @@ def correlation_scores(df: DataFrame, columns: Sequence[str], target: Column) ->
 
 
 def select_features(
-    df: DataFrame, columns: Sequence[str], target: Column, limit: int | None, forced: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    target: Column,
+    limit: int | None,
+    forced: Sequence[str] = (),
+    rows: int | None = None,
 ) -> list[str]:
     """The `limit` columns most correlated with the target, then the forced ones."""
     columns = list(columns)
     chosen = columns
     if limit is not None and len(columns) > limit:
-        ranked = sorted(correlation_scores(df, columns, target), reverse=True)
+        ranked = sorted(correlation_scores(df, columns, target, rows), reverse=True)
         chosen = [c for _, c in ranked[:limit]] or columns[:limit]
     return [*chosen, *[c for c in forced if c in columns and c not in chosen]]

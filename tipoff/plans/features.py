@@ -739,6 +739,13 @@ def class_features(recruits: DataFrame) -> DataFrame:
     return A.class_summary(rows, KEYS, "percentile", "industry_rank", "player_name", "industry_rating", "position", carry=["team"])
 
 
+def recruit_players_frame(rows: DataFrame) -> DataFrame:
+    """Rated recruits of a landed table."""
+    from tipoff.sources.nested import recruit_players
+
+    return recruit_players(rows)
+
+
 def net_targets(rows: DataFrame) -> DataFrame:
     """Target table per source file: rank, percentile, field size and band flags."""
 
