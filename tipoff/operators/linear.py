@@ -34,6 +34,60 @@ def finite(c: Column | str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
+@dataclass(frozen=True)
+class Profile:
+    """Sizes, medians and moments (after median imputation) of many columns, by column name."""
+
+    rows: int
+    counts: dict[str, int]
+    medians: dict[str, float]
+    means: dict[str, float]
+    variances: dict[str, float]
+    correlations: dict[str, float | None]
+
+
+def _long(df: DataFrame, columns: Sequence[str], target: Column) -> DataFrame:
+    """One row per row and column. A wide aggregate would carry hundreds of buffers; this carries one set
+    per column and combines on the map side just as well."""
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(target.cast("double").alias("y"), F.posexplode(values).alias("i", "v"))
+    return rows.withColumn("v", finite("v"))
+
+
+def profile(df: DataFrame, columns: Sequence[str], target: Column | None = None) -> Profile:
+    """Two passes over the long form: sizes and medians, then moments of the imputed values."""
+    columns = list(columns)
+    if not columns:
+        return Profile(df.count(), {}, {}, {}, {}, {})
+    y = F.lit(0.0) if target is None else target
+    long = _long(df, columns, y)
+    sizes = {r["i"]: r for r in long.groupBy("i").agg(F.count("*").alias("n"), F.count("v").alias("k")).collect()}
+    rows = max((r["n"] for r in sizes.values()), default=0)
+    found = {r["i"]: r["v"] for r in medians(long, ["i"], ["v"], rows_bound=rows).collect()}
+    mids = [found.get(i) if found.get(i) is not None else 0.0 for i in range(len(columns))]
+    fill = F.element_at(F.array(*[F.lit(float(m)) for m in mids]), F.col("i") + 1)
+    moments = {
+        r["i"]: r
+        for r in long.withColumn("v", F.coalesce("v", fill))
+        .groupBy("i")
+        .agg(F.avg("v").alias("m"), F.var_pop("v").alias("vv"), F.covar_pop("v", "y").alias("c"), F.var_pop("y").alias("vy"))
+        .collect()
+    }
+
+    def correlation(r) -> float | None:
+        spread = (r["vv"] or 0.0) * (r["vy"] or 0.0)
+        return abs(r["c"]) / math.sqrt(spread) if spread > 0 else None
+
+    return Profile(
+        rows,
+        {c: sizes[i]["k"] if i in sizes else 0 for i, c in enumerate(columns)},
+        {c: float(mids[i]) for i, c in enumerate(columns)},
+        {c: (moments[i]["m"] if i in moments else None) or 0.0 for i, c in enumerate(columns)},
+        {c: (moments[i]["vv"] if i in moments else None) or 0.0 for i, c in enumerate(columns)},
+        {c: correlation(moments[i]) if i in moments else None for i, c in enumerate(columns)},
+    )
+
+
 @dataclass(frozen=True)
 class FeatureSpec:
     """Imputation and scaling of the features, and the group labels for one-hot terms."""
@@ -45,53 +99,74 @@ class FeatureSpec:
     groups: list[str]
     group_column: str | None
 
-    def filled(self, column: str) -> Column:
-        return F.coalesce(finite(column), F.lit(self.medians[column]))
-
     def scaled(self, column: str) -> Column:
-        return (self.filled(column) - self.means[column]) / self.scales[column]
+        filled = F.coalesce(finite(column), F.lit(self.medians[column]))
+        return (filled - self.means[column]) / self.scales[column]
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, float]:
-    """Medians by column; a column without a value gets 0."""
-    if not columns:
-        return {}
-    row = medians(df, [], columns, rows_bound=rows).first()
-    return {c: (row[c] if row is not None and row[c] is not None else 0.0) for c in columns}
+def group_labels(df: DataFrame, column: str) -> list[str]:
+    """Sorted labels of a column that is meant to have few."""
+    label = F.col(column).cast("string")
+    found = df.select(label.alias("g")).where(F.col("g") != "").distinct().limit(_MAX_GROUPS + 1).collect()
+    if len(found) > _MAX_GROUPS:
+        raise ValueError(f"{column} has too many labels for one-hot terms")
+    return sorted(r["g"] for r in found)
 
 
 def fit_spec(
-    df: DataFrame, columns: Sequence[str], group_column: str | None = None, rows: int | None = None
+    df: DataFrame, columns: Sequence[str], group_column: str | None = None, known: Profile | None = None
 ) -> FeatureSpec:
+    """Spec of the columns; a profile that covers them saves its two passes."""
     columns = list(columns)
-    rows = df.count() if rows is None else rows
-    mids = column_medians(df, columns, rows)
-    filled = {c: F.coalesce(finite(c), F.lit(mids[c])) for c in columns}
-    stats = df.agg(
-        F.count("*"),
-        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(filled.values())],
-        *[F.var_pop(v).alias(f"v{i}") for i, v in enumerate(filled.values())],
-    ).first()
-    means = {c: stats[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
-    scales = {c: math.sqrt(max(stats[f"v{i}"] or 0.0, 0.0)) or 1.0 for i, c in enumerate(columns)}
-    groups: list[str] = []
-    if group_column:
-        label = F.col(group_column).cast("string")
-        found = df.select(label.alias("g")).where((F.col("g") != "")).distinct().limit(_MAX_GROUPS + 1).collect()
-        if len(found) > _MAX_GROUPS:
-            raise ValueError(f"{group_column} has too many labels for one-hot terms")
-        groups = sorted(r["g"] for r in found)
-    return FeatureSpec(columns, mids, means, scales, groups, group_column)
-
-
-def design(spec: FeatureSpec) -> list[Column]:
-    """Intercept, then value and missing flag per feature, then one term per group label."""
-    terms = [F.lit(1.0)]
-    for c in spec.columns:
-        terms += [spec.scaled(c), F.when(finite(c).isNull(), 1.0).otherwise(0.0)]
-    label = F.coalesce(F.col(spec.group_column).cast("string"), F.lit("")) if spec.group_column else None
-    terms += [F.when(label == g, 1.0).otherwise(0.0) for g in spec.groups]
-    return terms
+    p = profile(df, columns) if known is None else known
+    scales = {c: math.sqrt(max(p.variances[c], 0.0)) or 1.0 for c in columns}
+    groups = group_labels(df, group_column) if group_column else []
+    return FeatureSpec(
+        columns, {c: p.medians[c] for c in columns}, {c: p.means[c] for c in columns}, scales, groups, group_column
+    )
+
+
+def _design_sums(spec: FeatureSpec):
+    """Sums of products of [1, value and missing flag per feature, group terms, y] over a task's rows."""
+    middle = np.array([spec.medians[c] for c in spec.columns])
+    mean = np.array([spec.means[c] for c in spec.columns])
+    scale = np.array([spec.scales[c] for c in spec.columns])
+    place = {g: i for i, g in enumerate(spec.groups)}
+    start = 1 + 2 * len(spec.columns)
+    width = start + len(place) + 1
+
+    def run(batches):
+        total = np.zeros((width, width))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.zeros((len(pdf), width))
+            x[:, 0] = 1.0
+            if spec.columns:
+                raw = np.array([np.asarray(v, dtype=float) for v in pdf["x"]])
+                missing = ~np.isfinite(raw)
+                x[:, 1:start:2] = (np.where(missing, middle, raw) - mean) / scale
+                x[:, 2:start:2] = missing
+            for row, label in enumerate(pdf["g"]):
+                if label in place:
+                    x[row, start + place[label]] = 1.0
+            x[:, -1] = pdf["y"].to_numpy()
+            total += x.T @ x
+        yield pd.DataFrame({"sums": [total.ravel()]})
+
+    return run, width
+
+
+def design_products(df: DataFrame, spec: FeatureSpec, target: Column) -> tuple[np.ndarray, np.ndarray]:
+    """(X'X, X'y) of the imputed, scaled design."""
+    label = F.col(spec.group_column).cast("string") if spec.group_column else F.lit(None).cast("string")
+    rows = df.select(
+        F.array(*[F.col(c).cast("double") for c in spec.columns]).cast("array<double>").alias("x"),
+        label.alias("g"),
+        target.cast("double").alias("y"),
+    )
+    run, width = _design_sums(spec)
+    return _merged_products(rows.mapInPandas(run, "sums array<double>"), width)
 
 
 def _partial_sums(width: int):
@@ -119,8 +194,11 @@ def cross_products(df: DataFrame, terms: Sequence[Column], target: Column) -> tu
     """(X'X, X'y): each task adds up its rows, then the tasks are added up in two steps."""
     width = len(terms) + 1
     rows = df.select(F.array(*[t.cast("double") for t in terms], target.cast("double")).alias("x"))
-    parts = rows.mapInPandas(_partial_sums(width), "sums array<double>")
-    fan_in = max(1, math.isqrt(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+    return _merged_products(rows.mapInPandas(_partial_sums(width), "sums array<double>"), width)
+
+
+def _merged_products(parts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    fan_in = max(1, math.isqrt(max(1, parts.sparkSession.sparkContext.defaultParallelism)))
     merged = parts.repartition(fan_in).mapInPandas(_add_up, "sums array<double>")
     cells = merged.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("v")).collect()
     gram = np.zeros(width * width)
@@ -165,11 +243,11 @@ def fit_ridge(
     target: Column,
     alpha: float,
     group_column: str | None = None,
-    rows: int | None = None,
+    known: Profile | None = None,
 ) -> RidgeModel:
-    """Ridge with an unpenalised intercept on imputed, scaled features; `rows` saves a count."""
-    spec = fit_spec(df, columns, group_column, rows)
-    gram, moment = cross_products(df, design(spec), target)
+    """Ridge with an unpenalised intercept on imputed, scaled features."""
+    spec = fit_spec(df, columns, group_column, known)
+    gram, moment = design_products(df, spec, target)
     penalty = np.eye(len(moment)) * alpha
     penalty[0, 0] = 0.0
     return RidgeModel(spec, solve(gram + penalty, moment))
@@ -201,39 +279,23 @@ def calibration_report(df: DataFrame, terms: Sequence[Column], target: Column, s
     }
 
 
-def observed_columns(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], int]:
-    """Columns with at least one finite value, and the number of rows."""
-    row = df.agg(F.count("*").alias("n"), *[F.count(finite(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[f"n{i}"]], row["n"]
+def observed(known: Profile, columns: Sequence[str]) -> list[str]:
+    """Columns with at least one finite value."""
+    return [c for c in columns if known.counts[c]]
 
 
-def correlation_scores(
-    df: DataFrame, columns: Sequence[str], target: Column, rows: int | None = None
-) -> list[tuple[float, str]]:
+def correlation_scores(known: Profile, columns: Sequence[str]) -> list[tuple[float, str]]:
     """Absolute correlation with the target after median imputation; flat columns are left out."""
-    mids = column_medians(df, columns, df.count() if rows is None else rows)
-    row = df.agg(
-        *[
-            F.corr(F.coalesce(finite(c), F.lit(mids[c])), target.cast("double")).alias(f"r{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    scored = [(row[f"r{i}"], c) for i, c in enumerate(columns)]
-    return [(abs(r), c) for r, c in scored if r is not None and not math.isnan(r)]
+    return [(known.correlations[c], c) for c in columns if known.correlations[c] is not None]
 
 
 def select_features(
-    df: DataFrame,
-    columns: Sequence[str],
-    target: Column,
-    limit: int | None,
-    forced: Sequence[str] = (),
-    rows: int | None = None,
+    known: Profile, columns: Sequence[str], limit: int | None, forced: Sequence[str] = ()
 ) -> list[str]:
     """The `limit` columns most correlated with the target, then the forced ones."""
     columns = list(columns)
     chosen = columns
     if limit is not None and len(columns) > limit:
-        ranked = sorted(correlation_scores(df, columns, target, rows), reverse=True)
+        ranked = sorted(correlation_scores(known, columns), reverse=True)
         chosen = [c for _, c in ranked[:limit]] or columns[:limit]
     return [*chosen, *[c for c in forced if c in columns and c not in chosen]]

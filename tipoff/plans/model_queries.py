@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tipoff.operators import ranking as R
 from tipoff.operators import rolling as RO
 from tipoff.operators.boosting import fit_boosted_trees
-from tipoff.operators.linear import correlation_scores, fit_ridge
+from tipoff.operators.linear import correlation_scores, fit_ridge, profile
 from tipoff.operators.logistic import fit_logistic
 from tipoff.operators.slots import bench, slot_filling, starters
 from tipoff.plans.registry import SUPPLIER_YEARS, query, r6, supplier_years, table
@@ -51,7 +51,8 @@ UNION ALL SELECT 'l_linenumber', ROUND(ABS(CORR(l_linenumber, l_extendedprice)),
 )
 def feature_correlations(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn("l_tax", F.when(F.col("l_linestatus") == "O", F.col("l_tax")))
-    scores = correlation_scores(lines, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], F.col("l_extendedprice"))
+    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    scores = correlation_scores(profile(lines, columns, F.col("l_extendedprice")), columns)
     frame = spark.createDataFrame([(c, s) for s, c in scores], "feature string, score double")
     return frame.select("feature", r6("score").alias("score")).orderBy(F.col("score").desc(), F.col("feature").desc())
 
