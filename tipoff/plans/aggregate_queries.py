@@ -155,11 +155,11 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team ORDER BY pct DESC, CASE WHE
 w AS (SELECT *, CASE rn WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.65 WHEN 4 THEN 0.5 WHEN 5 THEN 0.4 WHEN 6 THEN 0.3 ELSE 0.25 END AS w FROM r)
 SELECT team, COUNT(*) AS class_count, COUNT(*) FILTER (rank > 0 AND rank <= 25) AS class_top_25_count,
   COUNT(*) FILTER (rank > 0 AND rank <= 50) AS class_top_50_count, COUNT(*) FILTER (rank > 0 AND rank <= 100) AS class_top_100_count,
-  ROUND(AVG(rating), 6) AS class_avg_rating, COUNT(*) FILTER (position = 'pg') AS class_pg_count,
+  ROUND(AVG(rating), 9) AS class_avg_rating, COUNT(*) FILTER (position = 'pg') AS class_pg_count,
   COUNT(*) FILTER (position IN ('pg', 'guard')) AS class_guard_count, COUNT(*) FILTER (position IN ('forward', 'wing')) AS class_forward_count,
   COUNT(*) FILTER (position = 'big') AS class_big_count, MAX(rank) FILTER (rn = 1) AS class_best_rank,
-  ROUND(MAX(pct) FILTER (rn = 1), 6) AS class_top_percentile, ROUND(AVG(pct), 6) AS class_avg_percentile,
-  ROUND(SUM(pct * w) / SUM(w), 6) AS class_weighted_percentile
+  ROUND(MAX(pct) FILTER (rn = 1), 9) AS class_top_percentile, ROUND(AVG(pct), 9) AS class_avg_percentile,
+  ROUND(SUM(pct * w) / SUM(w), 9) AS class_weighted_percentile
 FROM w GROUP BY team
 """,
 )
@@ -180,7 +180,7 @@ def class_summary(spark, folder):
         "pct", recruit_percentile(F.col("rank"), F.col("rating"), F.lit(None).cast("double"))
     )
     out = A.class_summary(rows, ["team"], "pct", "rank", "name", "rating", "position", prefix="class_")
-    return out.select(*[(r6(c) if "percentile" in c or c.endswith("rating") else F.col(c)).alias(c) for c in out.columns])
+    return out.select(*[(F.round(c, 9) if "percentile" in c or c.endswith("rating") else F.col(c)).alias(c) for c in out.columns])
 
 
 @query(
@@ -509,14 +509,14 @@ sides AS (
     CASE WHEN neutral THEN 0 ELSE 1 END AS at_home, neutral::INT AS n FROM games
   UNION ALL
   SELECT season, away, CASE WHEN neutral THEN home_rating ELSE home_rating + 3.5 END, 0, neutral::INT FROM games)
-SELECT season, team, ROUND(AVG(opp), 6) AS avg_adj_em, ROUND(AVG(at_home), 6) AS home_share, ROUND(AVG(n), 6) AS neutral_share,
+SELECT season, team, ROUND(AVG(opp), 11) AS avg_adj_em, ROUND(AVG(at_home), 6) AS home_share, ROUND(AVG(n), 6) AS neutral_share,
   COUNT(*) AS games FROM sides GROUP BY 1, 2
 """,
 )
 def both_sides_strength(spark, folder):
     out = A.both_sides(_games(spark, folder), "season", "home", "away", "home_rating", "away_rating", F.col("neutral"))
     return out.select(
-        "season", "team", r6("avg_adj_em").alias("avg_adj_em"), r6("home_share").alias("home_share"),
+        "season", "team", F.round("avg_adj_em", 11).alias("avg_adj_em"), r6("home_share").alias("home_share"),
         r6("neutral_share").alias("neutral_share"), "games",
     )
 

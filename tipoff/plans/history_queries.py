@@ -254,7 +254,7 @@ def season_lag_record(spark, folder):
     "leave_one_out",
     f"""
 WITH {CUSTOMER_YEARS},
-x AS (SELECT cy.season, c.c_nationkey AS grp, cy.entity, cy.spend FROM cy JOIN customer c ON c.c_custkey = cy.entity),
+x AS (SELECT cy.season, c.c_nationkey AS grp, cy.entity, FLOOR(cy.spend) AS spend FROM cy JOIN customer c ON c.c_custkey = cy.entity),
 national AS (SELECT season, AVG(spend) AS m FROM x GROUP BY 1),
 p AS (
   SELECT a.season, a.grp, a.entity, COUNT(b.spend) AS n, AVG(b.spend) AS peer_mean, MEDIAN(b.spend) AS peer_median,
@@ -274,7 +274,8 @@ def leave_one_out(spark, folder):
     customers = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("entity"), F.col("c_nationkey").cast("string").alias("grp")
     )
-    rows = cy.join(customers, "entity").select("season", "grp", "entity", "spend")
+    whole = F.floor("spend").cast("double").alias("spend")
+    rows = cy.join(customers, "entity").select("season", "grp", "entity", whole)
     out = schedule_environment(rows, "season", "grp", "spend", "entity", {"big": 500000.0}, prefix="env_")
     return out.select(
         "season",
@@ -348,7 +349,7 @@ WITH s AS (SELECT s_suppkey, s_acctbal, ROW_NUMBER() OVER (ORDER BY s_acctbal DE
 n AS (SELECT MAX(place) AS n FROM s),
 c AS (SELECT place, s_acctbal AS rating, COALESCE(LEAD(s_acctbal) OVER (ORDER BY place), s_acctbal) AS nxt FROM s),
 q AS (SELECT c_custkey, c_acctbal,
-        CASE WHEN c_acctbal IS NULL THEN NULL ELSE GREATEST(LEAST(c_acctbal / 100.0, n), 1.0) END AS at FROM customer, n)
+        CASE WHEN c_acctbal IS NULL THEN NULL ELSE GREATEST(LEAST(c_acctbal / 97.0, n), 1.0) END AS at FROM customer, n)
 SELECT c_custkey, ROUND(c.rating + (c.nxt - c.rating) * (q.at - FLOOR(q.at)), 2) AS rating_at_rank
 FROM q LEFT JOIN c ON c.place = FLOOR(q.at)
 """,
@@ -356,7 +357,7 @@ FROM q LEFT JOIN c ON c.place = FLOOR(q.at)
 def rating_curve(spark, folder):
     curve = R.rating_curve(table(spark, folder, "supplier"), "s_acctbal", ["s_suppkey"])
     last = curve.count()
-    asked = table(spark, folder, "customer").select("c_custkey", (F.col("c_acctbal") / 100.0).alias("rank"))
+    asked = table(spark, folder, "customer").select("c_custkey", (F.col("c_acctbal") / 97.0).alias("rank"))
     return R.rating_at_rank(asked, "rank", curve, "rating_at_rank", last).select("c_custkey", "rating_at_rank")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tipoff.functions.text import page_text as visible_text
 from tipoff.sources import files, nested, pages
 from tipoff.plans.registry import query, table
+from tipoff.session import shuffle_width
 
 
 @query(
@@ -76,7 +77,9 @@ def _order_pages(spark, folder):
         F.lit("<html><body><h1>D-I Men&#39;s Basketball NET Ranking thru games "), F.date_format("o_orderdate", "MM/dd/yyyy"),
         F.lit("</h1><table><tr><th>Team</th></tr>"), body, F.lit("</table></body></html>"),
     )
-    return lines.join(orders, "l_orderkey").select("l_orderkey", html.alias("html"))
+    # landed pages come in many files; the small derived table is spread the same way
+    rows = lines.join(orders, "l_orderkey").select("l_orderkey", html.alias("html"))
+    return rows.repartition(shuffle_width(rows), "l_orderkey")
 
 
 @query(

@@ -126,9 +126,8 @@ SELECTION_CELLS = (
 )
 
 
-def page_season(html: Column) -> tuple[Column, Column, Column]:
-    """(season, season label, through date) from the visible text."""
-    text = page_text(html)
+def page_season(text: Column) -> tuple[Column, Column, Column]:
+    """(season, season label, through date) from the visible text of a page."""
     pattern = r"(\d{4}-\d{2})\s+D-I Men's Basketball NET Ranking thru games\s+(\d{2}/\d{2}/\d{4})"
     label = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     day = F.coalesce(us_date(F.regexp_extract(text, pattern, 2)), us_date(text))
@@ -138,8 +137,10 @@ def page_season(html: Column) -> tuple[Column, Column, Column]:
 
 def selection_rows(pages: DataFrame, ids: Sequence[str], html: str = "html") -> DataFrame:
     """Team rows of selection sheets: at least 24 cells, the rank in the third or, failing that, fourth."""
-    season, label, day = page_season(F.col(html))
-    pages = pages.withColumns({"season": season, "season_label": label, "selection_thru_games": day})
+    season, label, day = page_season(F.col("_text"))
+    pages = pages.withColumn("_text", page_text(F.col(html))).withColumns(
+        {"season": season, "season_label": label, "selection_thru_games": day}
+    )
     carried = [*ids, "season", "season_label", "selection_thru_games"]
     rows = table_rows(pages, carried, html).where(F.size("cells") >= 24)
     third = dash_int(F.get("cells", F.lit(2)))
