@@ -11,14 +11,21 @@ from pyspark.sql.types import StructType
 from tipoff.functions.casts import first_non_empty, to_int
 
 
+def _list_entries(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
+    """Object entries of one-list files as (path, entry)."""
+    texts = spark.read.option("wholetext", True).text(path).select(file_path().alias("_path"), "value")
+    entries = texts.select("_path", F.explode(F.from_json("value", "array<string>")).alias("_text"))
+    objects = entries.where(F.ltrim("_text").startswith("{"))
+    return objects.select("_path", F.from_json("_text", schema).alias("_row"))
+
+
 def read_json_list(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
     """Rows of files that each hold one JSON list. Entries that are not objects are dropped."""
-    heads = spark.read.option("wholetext", True).text(path)
-    wrong = heads.where(~F.ltrim("value").startswith("[")).select(F.col("_metadata.file_path").alias("p")).first()
+    texts = spark.read.option("wholetext", True).text(path).select(file_path().alias("p"), "value")
+    wrong = texts.where(~F.ltrim("value").startswith("[")).first()
     if wrong is not None:
         raise ValueError(f"expected a JSON list in {wrong['p']}")
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.dropna(how="all")
+    return _list_entries(spark, path, schema).select("_row.*")
 
 
 def read_text_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -59,8 +66,8 @@ def season_scan(
     With both bounds only the named folders are listed, so nothing outside them is opened.
     """
     folder = "[0-9]*" if first is None or last is None else "{" + ",".join(map(str, range(first, last + 1))) + "}"
-    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/{folder}/{file_name}")
-    rows = rows.withColumn("folder_season", season_from_folder(file_path()))
+    rows = _list_entries(spark, f"{root}/{folder}/{file_name}", schema)
+    rows = rows.select("_row.*", season_from_folder(F.col("_path")).alias("folder_season"))
     keep = F.col("folder_season").isNotNull()
     if first is not None:
         keep &= F.col("folder_season") >= first
