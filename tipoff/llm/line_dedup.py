@@ -56,8 +56,9 @@ def similar_lines(
     pairs = pinned(pairs.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     chosen = lines.select("key", "line").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = pinned(chosen.select("key", shingles("line", size).alias("set")))
-    left, right = sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
+    # Both sides of the pairs use one shuffle of the lines by key.
+    left = chosen.select(F.col("key").alias("a"), shingles("line", size).alias("sa"))
+    right = chosen.select(F.col("key").alias("b"), shingles("line", size).alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
     return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
