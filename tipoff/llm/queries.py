@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from tipoff.llm.common import held_out, table
 from tipoff.llm.decontamination import find_benchmark, is_contaminated, n_hit
+from tipoff.llm.fingerprints import fingerprint_documents, within_radius
+from tipoff.llm.licenses import scan_licenses
 from tipoff.llm.line_dedup import line_classes
 from tipoff.llm.packing import pack
 from tipoff.llm.quality import fit_quality, quality_scores
+from tipoff.llm.sharding import uniform_shards
 from tipoff.llm.simhash_dedup import as_hex, near_duplicates
 from tipoff.plans.registry import Query
+from tipoff.session import pinned
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +79,48 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every line that is not blank, named by the line that is kept."""
     classes = line_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.col("line_no").cast("long"), "keeper_doc_id", F.col("keeper_line_no").cast("long"), "kept")
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal row counts; equal texts are spread like any other rows."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    return uniform_shards(rows, 8, seed=20).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("places", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how many fingerprints lie within 3 bits of every 20th id's."""
+    prints = pinned(fingerprint_documents(table(spark, sf_dir, "documents")))
+    asked = F.col("doc_id") % 20 == 0
+    near = within_radius(prints.where(asked), prints).groupBy("query").agg(F.count("*").alias("n"))
+    return (
+        prints.join(near, prints["fingerprint"] == near["query"], "left")
+        .withColumn("n_within", F.when(asked, F.col("n")))
+        .select(
+            "doc_id", "n_chars", "edited_sha256", as_hex("fingerprint").alias("fingerprint"),
+            as_hex("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", "n_within",
+        )
+    )
