@@ -95,7 +95,9 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", **options) -> Data
         F.collect_set("label").alias("met"), F.max("share").alias("share")
     )
     low, raw = _text(inner, text), F.col(text).cast("string")
-    words = F.filter(F.split(low, _GAP), lambda w: w != "")
+    pieces = F.split(low, _GAP)  # empty pieces stand at the ends only
+    empty_ends = F.when(F.get(pieces, 0) == "", 1).otherwise(0) + F.when((F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), 1).otherwise(0)
+    words = F.filter(pieces, lambda w: w != "")
 
     def runs(phrase: str) -> Column:
         parts = phrase.split(" ")
@@ -114,7 +116,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", **options) -> Data
     may = F.greatest(*[F.contains(low, F.lit(w)) for w in lasts]) if len(lasts) > 1 else F.contains(low, F.lit(next(iter(lasts))))
     scanned = (
         inner.withColumns({
-            "h": F.xxhash64(raw), "c": F.crc32(raw.cast("binary")), "n_words": F.regexp_count(low, F.lit(_WORD)).cast("long"),
+            "h": F.xxhash64(raw), "c": F.crc32(raw.cast("binary")), "n_words": (F.size(pieces) - empty_ends).cast("long"),
             "words": F.when(may, words),
         })
         .withColumn("places", F.when(F.col("words").isNull(), none).otherwise(F.concat(*[runs(p) for p in PHRASES])))
