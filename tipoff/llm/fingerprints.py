@@ -75,47 +75,44 @@ def within_radius(queries: DataFrame, prints: DataFrame, *, radius: int = 3, nam
         first = F.when(here, F.lit(t)).otherwise(first)
     q, p = keyed(queries, "query").alias("q"), keyed(prints, "found").alias("p")
     near = (F.col("q.t") == F.col("p.t")) & (F.col("q.key") == F.col("p.key")) & (F.bit_count(differ) <= radius) & (first == F.col("q.t"))
-    return q.join(p, near).select("query", "found")
+    # by sort and merge: sizes after an explode are guessed too low for a broadcast
+    return q.join(p.hint("merge"), near).select("query", "found")
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """`keys` (`doc_id`, `version`, others) with `next_id`, `next_version`: what follows in ascending order; the first follows the last.
+    """`keys` (`doc_id`, `version`, `key`, others) with `next_key`: what follows in ascending order; the first follows the last.
 
     The distinct keys are sorted by range and numbered piece by piece; only the least key of each piece looks
     across its border.
     """
     ranged = pinned(keys.distinct().repartitionByRange("doc_id", "version").withColumn("piece", F.spark_partition_id()))
-    key = F.struct("doc_id", "version")
-    least = ranged.groupBy("piece").agg(F.min(key).alias("least"))
-    everyone = least.agg(F.min("least").alias("start"))
-    ahead = F.lead("least").over(Window.orderBy("piece"))
-    borders = least.withColumn("ahead", ahead).crossJoin(everyone).select("piece", F.coalesce("ahead", "start").alias("ahead"))
-    inside = F.lead(key).over(Window.partitionBy("piece").orderBy("doc_id", "version"))
+    place = F.struct("doc_id", "version", "key")
+    least = ranged.groupBy("piece").agg(F.min(place).alias("least"))
+    row = Window.orderBy("piece")  # one row for each piece
+    start = F.min("least").over(row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    borders = least.select("piece", F.coalesce(F.lead("least").over(row), start)["key"].alias("ahead"))
+    inside = F.lead("key").over(Window.partitionBy("piece").orderBy("doc_id", "version"))
     joined = ranged.withColumn("inside", inside).join(borders, "piece")
-    follower = F.coalesce("inside", "ahead")
-    return joined.select(*keys.columns, follower["doc_id"].alias("next_id"), follower["version"].alias("next_version"))
-
-
-def _same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+    return joined.select(*keys.columns, F.coalesce("inside", "ahead").alias("next_key"))
 
 
 def edited_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct id and text: `doc_id`, `version` (hash of the text), `text`, `edited`, `next_id`, `next_version`.
+    """One row for each distinct id and text: `doc_id`, `key` (two hashes that name them), `text`, `edited`, `next_key`.
 
     The last quarter of the code points (rounded down) gives way to as many of the next document's first ones.
     Only those first ones travel to their neighbour; both joins share one shuffle of the texts.
     """
-    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
-    base = docs.select(named(id_col).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    keys = base.select("doc_id", "version", F.floor(F.char_length("text") / 4).cast("int").alias("cut"))
-    cut = pinned(successors(keys))
-    texts = base.dropDuplicates(["doc_id", "version"])
-    heads = texts.alias("t").join(cut.alias("c"), _same(F.col("t.doc_id"), F.col("c.next_id")) & (F.col("t.version") == F.col("c.next_version")))
-    heads = heads.select(F.col("c.doc_id"), F.col("c.version"), "next_id", "next_version", "cut", F.left("t.text", F.col("cut")).alias("head"))
-    both = texts.alias("t").join(heads.alias("h"), _same(F.col("t.doc_id"), F.col("h.doc_id")) & (F.col("t.version") == F.col("h.version")))
-    edited = F.concat(F.left("t.text", F.char_length("t.text") - F.col("cut")), "head")
-    return both.select("t.doc_id", "t.version", "t.text", edited.alias("edited"), "next_id", "next_version")
+    text, own = F.coalesce(named(text_col).cast("string"), F.lit("")), named(id_col)
+    base = docs.select(own.alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    base = base.withColumn("key", F.struct("version", F.xxhash64("doc_id", "version").alias("both")))
+    cut = pinned(successors(base.select("doc_id", "version", "key", F.floor(F.char_length("text") / 4).cast("int").alias("cut"))))
+    texts = base.select("key", "text").dropDuplicates(["key"])
+    ahead = cut.select("doc_id", F.col("key").alias("before"), "next_key", "cut")
+    heads = texts.join(ahead, F.col("key") == F.col("next_key")).select(
+        "doc_id", F.col("before").alias("key"), "next_key", "cut", F.left("text", F.col("cut")).alias("head")
+    )
+    edited = F.concat(F.left("text", F.char_length("text") - F.col("cut")), F.col("head"))
+    return texts.join(heads, "key").select("doc_id", "key", "text", edited.alias("edited"), "next_key")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -126,21 +123,17 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     by their hash. A single document follows itself. An empty table gives no rows. Other columns are not returned.
     """
     rows = edited_texts(docs, id_col=id_col, text_col=text_col)
-    keys = ["doc_id", "version", "kind", "next_id", "next_version", "n_chars", "sha"]
+    keys = ["doc_id", "key", "kind", "next_key", "n_chars", "sha"]
     two = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("x")))
     apart = rows.select(
-        "doc_id", "version", "next_id", "next_version", F.char_length("text").cast("long").alias("n_chars"),
+        "doc_id", "key", "next_key", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("sha"), F.explode(two).alias("one"),
     ).select("*", "one.kind", "one.x")
     votes = pinned(simhash(apart, keys, "x", shingle=shingle))
     own = votes.where("kind = 0").drop("kind")
-    edited = votes.where("kind = 1").select("doc_id", "version", F.col("fingerprint").alias("edited_fingerprint"))
-    after = own.select(F.col("doc_id").alias("id"), F.col("version").alias("v"), F.col("fingerprint").alias("next_fingerprint"))
-    o, e, a = own.alias("o"), edited.alias("e"), after.alias("a")
-    joined = o.join(e, _same(F.col("o.doc_id"), F.col("e.doc_id")) & (F.col("o.version") == F.col("e.version"))).join(
-        a, _same(F.col("o.next_id"), F.col("a.id")) & (F.col("o.next_version") == F.col("a.v"))
-    )
-    return joined.select(
-        "o.doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+    edited = votes.where("kind = 1").select("key", F.col("fingerprint").alias("edited_fingerprint"))
+    after = own.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
+    return own.join(edited, "key").join(after, "next_key").select(
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
