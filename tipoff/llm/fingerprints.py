@@ -103,10 +103,11 @@ def edited_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Only those first ones travel to their neighbour; both joins share one shuffle of the texts.
     """
     text, own = F.coalesce(named(text_col).cast("string"), F.lit("")), named(id_col)
-    base = docs.select(own.alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    base = base.withColumn("key", F.struct("version", F.xxhash64("doc_id", "version").alias("both")))
-    cut = pinned(successors(base.select("doc_id", "version", "key", F.floor(F.char_length("text") / 4).cast("int").alias("cut"))))
-    texts = base.select("key", "text").dropDuplicates(["key"])
+    # a name of its own keeps both reads of the texts alike, so that their shuffle is used twice
+    base = docs.select(own.alias("own_id"), F.xxhash64(text).alias("version"), text.alias("own_text"))
+    base = base.withColumn("key", F.struct("version", F.xxhash64("own_id", "version").alias("both")))
+    cut = pinned(successors(base.select(F.col("own_id").alias("doc_id"), "version", "key", F.floor(F.char_length("own_text") / 4).cast("int").alias("cut"))))
+    texts = base.select("key", F.col("own_text").alias("text")).dropDuplicates(["key"])
     ahead = cut.select("doc_id", F.col("key").alias("before"), "next_key", "cut")
     heads = texts.join(ahead, F.col("key") == F.col("next_key")).select(
         "doc_id", F.col("before").alias("key"), "next_key", "cut", F.left("text", F.col("cut")).alias("head")
