@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from tipoff.llm.common import held_out, table
 from tipoff.llm.decontamination import find_benchmark, is_contaminated, n_hit
 from tipoff.llm.fingerprints import fingerprint_documents, within_radius
+from tipoff.llm.language_id import fit_languages, predict_languages
 from tipoff.llm.licenses import scan_licenses
 from tipoff.llm.line_dedup import line_classes
 from tipoff.llm.packing import pack
 from tipoff.llm.quality import fit_quality, quality_scores
 from tipoff.llm.sharding import uniform_shards
 from tipoff.llm.simhash_dedup import as_hex, near_duplicates
+from tipoff.llm.warc import archive
 from tipoff.plans.registry import Query
 from tipoff.session import pinned
 
@@ -124,3 +126,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
             as_hex("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", "n_within",
         )
     )
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.select("doc_id", "text", "lang"))
+    found = predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_warc")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every page, as read back from the archives."""
+    index = archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
