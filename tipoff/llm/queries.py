@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from tipoff.llm.common import held_out, table
 from tipoff.llm.decontamination import find_benchmark, is_contaminated, n_hit
 from tipoff.llm.fingerprints import fingerprint_documents, within_radius
 from tipoff.llm.language_id import fit_languages, predict_languages
-from tipoff.llm.licenses import scan_licenses
+from tipoff.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from tipoff.llm.line_dedup import line_classes
 from tipoff.llm.packing import pack
 from tipoff.llm.quality import fit_quality, quality_scores
@@ -20,6 +22,8 @@ from tipoff.llm.warc import archive
 from tipoff.plans.registry import Query
 from tipoff.session import pinned
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,7 +38,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_decontamination")
+_OP1 = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+v AS (SELECT item, w, unnest(range(1, greatest(2, len(w) - 11))) AS a FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[a : a + least(len(w), 13) - 1], ' ') AS s FROM v),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ax AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS a FROM d),
+sized AS (SELECT doc_id, a, n, array_to_string(w[a : a + n - 1], ' ') AS s FROM ax, (SELECT DISTINCT n FROM win) WHERE a + n - 1 <= len(w)),
+occ AS (SELECT doc_id, a, sized.n, item FROM sized JOIN win ON win.n = sized.n AND win.s = sized.s),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + n)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@query("op1_decontamination", _OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,7 +114,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_license_scan")
+def _op6() -> str:
+    def place(phrase: str) -> str:
+        same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split(" ")))
+        return f"list_filter(range(1, len(w) + 1), lambda i: coalesce({same}, false))"
+
+    rows = []
+    for label, text in TEMPLATES:
+        held = sorted(set(re.findall("[a-z0-9]+", text.lower())))
+        rows.append(f"('{label}', [{', '.join(repr(x) for x in held)}])")
+    found = ", ".join(f"{place(p)} AS p{k}" for k, p in enumerate(PHRASES))
+    labels = " || ".join(f"CASE WHEN len(p{k}) > 0 THEN ['{x}'] ELSE [] END" for k, x in enumerate(PHRASES.values()))
+    every = " || ".join(f"p{k}" for k in range(len(PHRASES)))
+    return f"""
+WITH t(label, words) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, {_WORDS} AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)),
+m AS (SELECT doc_id, label, len(list_intersect(words, lw)) / len(words) AS share FROM l, t
+      WHERE 100 * len(list_intersect(words, lw)) >= 80 * len(words)),
+g AS (SELECT doc_id, list(DISTINCT label) AS met, max(share) AS share FROM m GROUP BY doc_id),
+b AS (SELECT doc_id, w, {found} FROM d),
+c AS (SELECT doc_id, len(w) AS n, {every} AS starts, {labels} AS base FROM b)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, list_min(starts) - 1 AS first_word, list_max(starts) - 1 AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(base || coalesce(met, []))), ',') AS labels,
+       CASE WHEN len(starts) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM c LEFT JOIN g USING (doc_id)"""
+
+
+@query("op6_license_scan", _op6())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -137,7 +184,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-@query("op8_warc")
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(hexed, {5 * i + 1}, 5) AS INTEGER) >> {k}) & 31) + 1, 1)"
+    for i in range(8)
+    for k in (15, 10, 5, 0)
+)
+_OP8 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hexed FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, {_DIGITS} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f"""
+
+
+@query("op8_warc", _OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every page, as read back from the archives."""
     index = archive(table(spark, sf_dir, "pages"))

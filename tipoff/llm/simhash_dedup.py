@@ -217,28 +217,37 @@ def near_duplicates(
     component; a component of null ids only has a null id. Rows that repeat are returned as often as they come.
     Only distinct fingerprints are compared; documents are never paired.
     """
+    return _placed(docs, shingle, radius, id_col, text_col).select("doc_id", "fingerprint", "component_id")
+
+
+def _placed(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `near_duplicates` with `version`, the hash of the text."""
     mine = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
-    prints = pinned(fingerprints(mine, shingle=shingle).select("doc_id", "fingerprint"))
+    hashed = mine.withColumn("version", F.xxhash64("text"))
+    prints = pinned(fingerprints(hashed, shingle=shingle).select("doc_id", "version", "fingerprint"))
     least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints, radius=radius)).withColumnRenamed("node", "fingerprint")
     placed = least.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named_roots = placed.select("fingerprint", "root").join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(named_roots, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(named_roots, "fingerprint").select("doc_id", "version", "fingerprint", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each_group(
+    docs: DataFrame, *, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of `docs`, with their own columns, of which each near-duplicate component keeps its least id.
 
-    Rows with a null id are kept only where no row of their component has an id. Rows that repeat the kept id,
-    or all nulls of a component without ids, are one document and stay together.
+    Rows with a null id are kept only where no row of their component has an id. Rows that repeat the kept id
+    within a component are one document and stay together, and so do the nulls of a component without ids.
     """
     own = docs.columns
     inner = docs.select([named(c).alias(f"c{i}") for i, c in enumerate(own)])
-    key = f"c{own.index(id_col)}"
-    found = near_duplicates(inner, id_col=key, text_col=f"c{own.index(text_col)}", **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    joined = inner.join(kept, F.col(key).eqNullSafe(F.col("doc_id")), "left_semi")
+    key, text = f"c{own.index(id_col)}", f"c{own.index(text_col)}"
+    found = _placed(inner, shingle, radius, key, text)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "version").distinct()
+    same = F.col(key).eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("version"))
+    joined = inner.join(kept, same, "left_semi")
     return joined.select([F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
 
 
