@@ -286,3 +286,35 @@ def test_weighted_means_differ_on_null(spark):
         A.weighted_mean(F.col("v"), F.col("w")).alias("skip"), A.weighted_mean(F.col("v"), F.col("w"), True).alias("zero")
     ).first()
     assert (r["skip"], r["zero"]) == (1.0, 0.5)
+
+
+def test_slot_filling_keeps_repeated_recruits(spark):
+    rows = [("t", 90.0, 0.1, "pg", "same", 7)] * 6 + [("t", 80.0, 0.2, "big", "other", 8)] * 3
+    df = spark.createDataFrame(rows, "team string, base double, history_share double, position string, player_name string, player_id long")
+    known = spark.createDataFrame(
+        [("t", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)],
+        "team string, known_pg double, known_backcourt double, known_big double, known_frontcourt double, returner_share double, transfer_share double",
+    )
+    got = [slot_filling(df, known, ["team"], chunk=c).first() for c in (1, 2, 4, 256)]
+    for other in got[1:]:
+        assert all(a == b or abs(a - b) < 1e-9 for a, b in zip(got[0][1:], other[1:]) if isinstance(a, float))
+
+
+def test_latest_by_any_key_takes_the_first_team(spark):
+    from tipoff.operators.matching import latest_by_any_key
+
+    rows = spark.createDataFrame([(["k"], t, 2020) for t in "BCA"], "keys array<string>, team string, season int")
+    asked = spark.createDataFrame([(1, ["k"], "Z"), (2, ["k"], "A")], "id int, keys array<string>, team string")
+    got = {r["id"]: r["last_seen_team"] for r in latest_by_any_key(asked, rows, "id", "keys", "team", "season", []).collect()}
+    assert got == {1: "A", 2: "B"}
+
+
+def test_cascade_match_spreads_blank_keys(spark):
+    from tipoff.operators.matching import cascade_match
+
+    people = spark.createDataFrame([("1", "ann", "x", 5), ("", "bob", "y", 6)], "player_id string, player_key string, source_team_key string, v int")
+    ledger = spark.createDataFrame(
+        [("1", "?", "?"), ("", "bob", "y"), (None, "bob", None), ("", "", ""), (None, None, None)], "player_id string, player_key string, source_team_key string"
+    )
+    got = [r["match_method"] for r in cascade_match(ledger, people, payload=["v"]).collect()]
+    assert sorted(map(str, got)) == sorted(["player_id", "player_name_source_team", "player_name_only", "None", "None"])

@@ -242,8 +242,7 @@ def backoff_lookup(
 ) -> DataFrame:
     """Mean at the finest level with enough samples, else the overall mean, else the fallback.
 
-    The table holds one row per label combination; labels are a fixed short list, so the table is
-    small whatever the data, and it is broadcast.
+    The table holds one row per label combination; whether it is small enough to broadcast is left to Spark.
     """
     ids = {"both": 0, "bucket": 1, "position": 2}
     on = {"both": [bucket, position], "bucket": [bucket], "position": [position]}
@@ -253,7 +252,7 @@ def backoff_lookup(
         side = table.where(F.col("level") == ids[name]).select(
             *on[name], F.when(F.col("sample") >= minimum, F.col("mean")).alias(f"_at_{name}")
         )
-        out_df = out_df.join(F.broadcast(side), on[name], "left")
+        out_df = out_df.join(side, on[name], "left")
         picks.append(F.col(f"_at_{name}"))
     overall = table.where(F.col("level") == 3).select("mean", "sample").first()
     if overall is not None and overall["mean"] is not None and (overall["mean"] != 0 or not last_positive):

@@ -117,17 +117,20 @@ def prior_last_rows(
 ) -> DataFrame:
     """The last `k` earlier rows of the entity, oldest first, as an array of structs.
 
-    Each (entity, period) keeps at most `k` rows, so the array a window gathers is bounded by `k`
-    times the number of periods.
+    Each (entity, period) keeps at most `k` rows. The last rows up to a period lie in its last `k` periods with
+    rows, so a window gathers `k` times `k` rows at most; what a period without rows sees is carried forward.
     """
     keys = [*entity, period]
     kept = top_rows(df.select(*dict.fromkeys([*keys, *tie, *payload])), keys, [F.col(t).desc() for t in tie], k)
     fields = [period, *[c for c in dict.fromkeys([*tie, *payload]) if c != period]]
     grain = kept.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_rows"))
+    kind = grain.schema["_rows"].dataType
+    order = Window.partitionBy(*entity).orderBy(period)
+    gathered = F.sort_array(F.flatten(F.collect_list("_rows").over(order.rowsBetween(1 - k, 0))))
+    grain = grain.withColumn("_last", F.slice(gathered, F.greatest(F.size(gathered) - (k - 1), F.lit(1)), k)).drop("_rows")
     grain = _with_grid(grain, grid, keys)
-    before = Window.partitionBy(*entity).orderBy(period).rangeBetween(Window.unboundedPreceding, -1)
-    gathered = F.sort_array(F.flatten(F.collect_list("_rows").over(before)))
-    last = F.slice(gathered, F.greatest(F.size(gathered) - (k - 1), F.lit(1)), k)
+    before = F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.coalesce(before, F.array().cast(kind))
     marked = grain.select(*keys, last.alias(out), *(["_wanted"] if grid is not None else []))
     return marked if grid is None else marked.where("_wanted").drop("_wanted")
 

@@ -255,7 +255,7 @@ def planner_board(spark, folder):
     curve, _, bubble = N.benchmarks(g.ratings.where(F.col("Season") == last))
     chosen = predictions.where(F.col("model") == "direct_ridge_schedule_building")
     rows = N.planner_rows(chosen, curve, bubble if bubble is not None else 16.0)
-    return rows.unionByName(N.placeholder_rows(rows, bubble or 16.0).drop("is_placeholder"), allowMissingColumns=True)
+    return rows.unionByName(N.placeholder_rows(rows, bubble if bubble is not None else 16.0).drop("is_placeholder"), allowMissingColumns=True)
 
 
 @query("team_lineups")
