@@ -95,3 +95,15 @@ def test_dates_and_records(spark):
     assert str(one(spark, T.us_date(F.col("a")), a="x 03/15/2026 y")) == "2026-03-15"
     assert T.header_name("Non-Div I") == "non_division_i" and T.header_name("Quad 1") == "q1"
     assert one(spark, S.season_label(F.col("a").cast("int")), a=2026.0) == "2025-26"
+
+
+def test_folding_equals_full_decomposition(spark):
+    from pyspark.sql import functions as F
+
+    from tipoff.functions import text as T
+
+    words = ["Ĳssel", "𝐀bc", "½ cup", "ﬁne", "Café", "Étude", "Straße", "™", "plain", None]
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select(
+        T.normalize_text(F.col("t")).alias("a"), T.normalize_text(F.col("t"), True).alias("b")
+    ).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[0]["a"] == "ijssel" and rows[1]["a"] == "abc"

@@ -15,26 +15,36 @@ from tipoff import fixed_values as fixed
 from tipoff.functions.casts import to_int
 
 
-def _single_letter_folds() -> tuple[str, str]:
-    """Characters that decompose to one plain character, and those characters."""
-    found, plain = [], []
-    for code in range(0x00A0, 0x10000):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
+def _folds() -> dict[str, str]:
+    """Every character whose compatibility decomposition holds a plain character, and that decomposition without marks."""
+    found = {}
+    for code in (*range(0x00A0, 0xD800), *range(0xE000, 0x110000)):
         char = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if base != char and len(base) == 1 and ord(base) < 128:
-            found.append(char)
-            plain.append(base)
-    return "".join(found), "".join(plain)
+        parts = unicodedata.normalize("NFKD", char)
+        if parts != char:
+            base = "".join(c for c in parts if not unicodedata.combining(c))
+            if base != char and any(c < "\x80" for c in base):
+                found[char] = base
+    return found
 
 
-_FOLD_FROM, _FOLD_TO = _single_letter_folds()
+_FOLDS = _folds()
+_ONE = {k: v for k, v in _FOLDS.items() if len(v) == 1}
+_MANY = {k: v for k, v in _FOLDS.items() if len(v) > 1}
+_FOLD_FROM, _FOLD_TO = "".join(_ONE), "".join(_ONE.values())
+_MANY_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MANY) + "]"
 
 
 def strip_accents(c: Column) -> Column:
-    """Accents off, in the JVM. Ligatures and fractions, which fold to several letters, are left."""
-    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), _FOLD_FROM, _FOLD_TO)
+    """Accents off by compatibility decomposition, in the JVM.
+
+    Characters that fold to several (ligatures, fractions) are looked up one by one, in the rows that have any.
+    """
+    one = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), _FOLD_FROM, _FOLD_TO)
+    many = F.map_from_arrays(F.split(F.lit("\n".join(_MANY)), "\n"), F.split(F.lit("\n".join(_MANY.values())), "\n"))
+    spelled = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
+    folded = F.when(one.rlike(_MANY_CLASS), spelled).otherwise(one)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 @F.pandas_udf(StringType())

@@ -478,7 +478,7 @@ def probability_scores(spark, folder):
 
 _GAMES = """
 games AS (
-  SELECT CAST(year(l.l_shipdate) AS INTEGER) AS season, o.o_custkey AS home, 1000000 + l.l_suppkey AS away,
+  SELECT CAST(year(l.l_shipdate) AS INTEGER) AS season, 'c' || o.o_custkey AS home, 's' || l.l_suppkey AS away,
     ROUND(c.c_acctbal) / 512.0 AS home_rating, ROUND(s.s_acctbal) / 512.0 AS away_rating, l.l_linenumber % 4 = 0 AS neutral
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
     JOIN supplier s ON s.s_suppkey = l.l_suppkey)"""
@@ -495,7 +495,7 @@ def _games(spark, folder):
     )
     return (
         lines.join(orders, "l_orderkey").join(customers, "home").join(suppliers, "s_suppkey")
-        .withColumn("away", F.lit(1000000) + F.col("s_suppkey"))
+        .withColumns({"home": F.concat(F.lit("c"), "home"), "away": F.concat(F.lit("s"), "s_suppkey")})
         .withColumn("neutral", F.col("l_linenumber") % 4 == 0)
     )
 

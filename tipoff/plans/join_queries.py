@@ -66,9 +66,9 @@ def attach_children(spark, folder):
     "game_four_lookups",
     f"""
 WITH {CUSTOMER_YEARS}, {SUPPLIER_YEARS},
-f AS (SELECT season, entity, spend AS strength FROM cy UNION ALL SELECT season, 1000000 + entity, revenue FROM sy),
+f AS (SELECT season, 'c' || entity AS entity, spend AS strength FROM cy UNION ALL SELECT season, 's' || entity, revenue FROM sy),
 g AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_quantity, CAST(year(l.l_shipdate) AS INTEGER) AS season,
-    o.o_custkey AS home, 1000000 + l.l_suppkey AS away FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)
+    'c' || o.o_custkey AS home, 's' || l.l_suppkey AS away FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)
 SELECT g.*, hn.strength AS home_now, hp.strength AS home_prior, an.strength AS away_now, ap.strength AS away_prior,
   ROUND(ap.strength - hp.strength - 3.5, 2) AS expected_margin
 FROM g JOIN f hn ON hn.season = g.season AND hn.entity = g.home JOIN f an ON an.season = g.season AND an.entity = g.away
@@ -76,16 +76,16 @@ LEFT JOIN f hp ON hp.season = g.season - 1 AND hp.entity = g.home LEFT JOIN f ap
 """,
 )
 def game_four_lookups(spark, folder):
-    features = customer_years(spark, folder).select("season", "entity", F.col("spend").alias("strength")).unionByName(
+    features = customer_years(spark, folder).select("season", F.concat(F.lit("c"), "entity").alias("entity"), F.col("spend").alias("strength")).unionByName(
         supplier_years(spark, folder).select(
-            "season", (F.col("entity") + 1000000).alias("entity"), F.col("revenue").alias("strength")
+            "season", F.concat(F.lit("s"), "entity").alias("entity"), F.col("revenue").alias("strength")
         )
     )
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("home"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("home"))
     games = (
         table(spark, folder, "lineitem")
         .select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.year("l_shipdate").alias("season"),
-                (F.col("l_suppkey") + 1000000).alias("away"))
+                F.concat(F.lit("s"), "l_suppkey").alias("away"))
         .join(orders, "l_orderkey")
     )
     out = J.both_seasons(games, features, ["strength"], home="home", away="away", team="entity")

@@ -57,14 +57,13 @@ def safe_casts(spark, folder):
     r"""
 WITH n AS (
   SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(text)), '&', ' and '), '[''`]', '', 'g')) AS t
-  FROM documents WHERE regexp_matches(text, '^[\x00-\x7FÀ-ÖØ-öø-ÿ\s]*$')),
+  FROM documents),
 w AS (SELECT doc_id, trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')) AS words FROM n)
 SELECT doc_id, md5(words) AS words_md5, length(words) AS size FROM w
 """,
 )
 def canonical_names(spark, folder):
-    latin = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ\s]*$"
-    docs = table(spark, folder, "documents").where(F.col("text").rlike(latin))
+    docs = table(spark, folder, "documents")
     words = T.normalize_text(F.col("text"))
     return docs.select("doc_id", F.md5(words).alias("words_md5"), F.length(words).alias("size"))
 
