@@ -254,6 +254,18 @@ def test_line_classes(spark, sf, documents, odd, nothing):
     assert without_repeated_lines(nothing).columns == nothing.columns
 
 
+def test_crowded_buckets_of_lines(spark):
+    """Lines of many groups meet in the same buckets; each group is one class whichever lines are the ends of a bucket."""
+    common = [f"commonword{i:02d}" for i in range(50)]
+    rows = [
+        (10 * g + v, " ".join(common + [f"g{g:04d}word{i:03d}" for i in range(8)] + [f"g{g:04d}rest{v:03d}"]))
+        for g in range(200)
+        for v in range(2)
+    ]
+    got = line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["keeper_doc_id"]) for r in got} == {(i, i - i % 10) for i, _ in rows}
+
+
 def test_packing(spark, sf, documents, odd, nothing):
     from tokenizers import Tokenizer
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import named
@@ -37,31 +37,77 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.where(F.col("line").rlike(r"\S")).withColumn("key", F.xxhash64("line"))
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of `pairs` (`a`, `b`) whose shingle sets (`key`, `s`) have a Jaccard index of `percent` or more."""
+    left = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    wanted = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
+    return pairs.join(left, "a").join(right, "b").where(wanted).select(pairs.columns)
+
+
+def _sets(lines: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """(`key`, `s`): the shingles of the lines whose key is in `keys`."""
+    chosen = lines.select("key", "line").join(keys.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return chosen.select("key", shingles("line", size).alias("s"))
+
+
+def _crowded_links(lines: DataFrame, members: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (`a`, `b`) between roots for all similar lines of a bucket (`crowd`, `key`) that have different roots.
+
+    The most frequent root of a bucket needs no look within itself, so only the lines with other roots, the
+    strays, search the bucket: by prefix, length and positional filters over the shingles, the rarest of the bucket
+    first. Two similar lines share a shingle of their prefixes, so none is missed in a bucket of any size.
+    """
+    rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    rooted = rooted.select("crowd", "key", F.coalesce("root", "key").alias("root"))
+    parts = rooted.groupBy("crowd", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("crowd").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = pinned(rooted.join(mixed, "crowd").select("crowd", "key", "root", (F.col("root") != F.col("main.root")).alias("stray")))
+    sets = pinned(_sets(lines, mixed, size))
+    held = mixed.join(sets, "key").select("crowd", "key", "root", "stray", F.size("s").alias("m"), F.explode("s").alias("h"))
+    held = held.join(held.groupBy("crowd", "h").agg(F.count("*").alias("n")), ["crowd", "h"])
+    place = F.row_number().over(Window.partitionBy("crowd", "key").orderBy("n", "h"))
+    held = pinned(held.withColumn("place", place).where(f"100 * (place - 1) <= (100 - {percent}) * m and n > 1"))
+    stray, other = held.where("stray").alias("x"), held.alias("y")
+    met = stray.join(
+        other,
+        F.expr(
+            f"""x.crowd = y.crowd and x.h = y.h and x.root <> y.root and (not y.stray or x.key < y.key)
+            and 100 * least(x.m, y.m) >= {percent} * greatest(x.m, y.m)
+            and {100 + percent} * (1 + least(x.m - x.place, y.m - y.place)) >= {percent} * (x.m + y.m)"""
+        ),
+    )
+    pairs = met.selectExpr("x.key as a", "y.key as b", "x.root as ra", "y.root as rb").distinct()
+    return _alike(pairs, sets, percent).selectExpr("ra as a", "rb as b").distinct()
+
+
 def similar_lines(
     lines: DataFrame, *, size: int = 12, count: int = 6, rows: int = 3, percent: int = 80
 ) -> DataFrame:
-    """Edges (`a`, `b`) between keys of different lines whose shingle sets have a Jaccard index of `percent` or more.
-
-    Equal lines are one key from the first step on. In each bucket of a band every line is held against the
-    least and the greatest key of the bucket, so the work stays linear in the lines however large a bucket is;
-    a link that this misses in one band shows in another. Buckets are summed up before the shuffle and joined
-    back, never gathered. The Jaccard index is exact, from the whole sets.
+    """(`node`, `root`) for the keys of lines linked with a smaller key, which is the root of their component.
+
+    Links join different lines that share a bucket of a band and whose shingle sets have a Jaccard index of
+    `percent` or more; the index is exact, from the whole sets. Equal lines are one key from the first step on.
+    First every line is held against the least and the greatest key of its buckets, which is linear in the lines
+    however large a bucket is, and all there is to see in buckets of three. Then the lines of larger buckets that
+    these links left in different components are searched for the rest. Buckets are summed up before the
+    shuffle and joined back, never gathered.
     """
     signed = lines.select("key", bands(shingles("line", size), count, rows).alias("bands"))
     signed = signed.select("key", *[F.col("bands")[j].alias(f"b{j}") for j in range(count)])
     distinct = signed.groupBy("key").agg(*[F.first(f"b{j}").alias(f"b{j}") for j in range(count)])
     held = distinct.select("key", F.explode(F.array(*[f"b{j}" for j in range(count)])).alias("band"))
-    ends = held.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    pairs = held.join(ends, "band").select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end")
-    pairs = pinned(pairs.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    chosen = lines.select("key", "line").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    ends = held.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("n > 1")
+    met = pinned(held.join(ends, "band").select("key", "low", "high", F.when(F.col("n") > 3, F.col("band")).alias("crowd")))
+    pairs = met.select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end")
+    pairs = pairs.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
     # Both sides of the pairs use one shuffle of the lines by key.
-    left = chosen.select(F.col("key").alias("a"), shingles("line", size).alias("sa"))
-    right = chosen.select(F.col("key").alias("b"), shingles("line", size).alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+    roots = components(_alike(pairs, _sets(lines, met, size), percent))
+    crowded = met.where("crowd is not null").select("crowd", "key").distinct()
+    more = components(_crowded_links(lines, crowded, roots, size, percent))
+    moved = more.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")).union(more)
 
 
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -74,7 +120,7 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     one document, so a line kept in one is kept in each. Very long texts are taken whole.
     """
     lines = _lines(docs, id_col, text_col)
-    roots = components(similar_lines(lines, **options)).withColumnRenamed("node", "key")
+    roots = similar_lines(lines, **options).withColumnRenamed("node", "key")
     placed = (
         lines.select("key", "doc_id", "version", "line_no")
         .join(roots, "key", "left")
