@@ -46,34 +46,35 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(wanted).select(pairs.columns)
 
 
-def _sets(lines: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """(`key`, `s`): the shingles of the lines whose key is in `keys`."""
-    chosen = lines.select("key", "line").join(keys.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    return chosen.select("key", shingles("line", size).alias("s"))
+def _strays(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(`key`, `root`, `stray`) for the lines of buckets (`band`, `key`) that hold several roots.
 
+    A stray has another root than the most frequent one in one of its buckets.
+    """
+    rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    rooted = rooted.select("band", "key", F.coalesce("root", "key").alias("root"))
+    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    held = rooted.join(mixed, "band").groupBy("key", "root")
+    return held.agg(F.max(F.col("root") != F.col("main.root")).alias("stray"))
 
-def _crowded_links(lines: DataFrame, members: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (`a`, `b`) between roots for all similar lines of a bucket (`crowd`, `key`) that have different roots.
 
-    The most frequent root of a bucket needs no look within itself, so only the lines with other roots, the
-    strays, search the bucket: by prefix, length and positional filters over the shingles, the rarest of the bucket
-    first. Two similar lines share a shingle of their prefixes, so none is missed in a bucket of any size.
+def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (`a`, `b`) between roots for all similar pairs of a stray and a line with another root.
+
+    An exact join by prefix, length and positional filters, the rarest shingles first: two similar lines share a
+    shingle of their prefixes. Lines with one root are never paired.
     """
-    rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    rooted = rooted.select("crowd", "key", F.coalesce("root", "key").alias("root"))
-    parts = rooted.groupBy("crowd", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("crowd").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = pinned(rooted.join(mixed, "crowd").select("crowd", "key", "root", (F.col("root") != F.col("main.root")).alias("stray")))
-    sets = pinned(_sets(lines, mixed, size))
-    held = mixed.join(sets, "key").select("crowd", "key", "root", "stray", F.size("s").alias("m"), F.explode("s").alias("h"))
-    held = held.join(held.groupBy("crowd", "h").agg(F.count("*").alias("n")), ["crowd", "h"])
-    place = F.row_number().over(Window.partitionBy("crowd", "key").orderBy("n", "h"))
-    held = pinned(held.withColumn("place", place).where(f"100 * (place - 1) <= (100 - {percent}) * m and n > 1"))
-    stray, other = held.where("stray").alias("x"), held.alias("y")
-    met = stray.join(
-        other,
+    held = lines.join(sets, "key").select("key", F.explode("s").alias("h"))
+    held = held.join(held.groupBy("h").agg(F.count("*").alias("n")), "h")
+    one = Window.partitionBy("key")
+    held = held.withColumn("place", F.row_number().over(one.orderBy("n", "h"))).withColumn("m", F.count("*").over(one))
+    prefix = held.where(f"n > 1 and 100 * (place - 1) <= {100 - percent} * m").select("key", "h", "place", "m")
+    prefix = pinned(prefix.join(lines, "key"))
+    met = prefix.where("stray").alias("x").join(
+        prefix.alias("y"),
         F.expr(
-            f"""x.crowd = y.crowd and x.h = y.h and x.root <> y.root and (not y.stray or x.key < y.key)
+            f"""x.h = y.h and x.root <> y.root and (not y.stray or x.key < y.key)
             and 100 * least(x.m, y.m) >= {percent} * greatest(x.m, y.m)
             and {100 + percent} * (1 + least(x.m - x.place, y.m - y.place)) >= {percent} * (x.m + y.m)"""
         ),
@@ -98,14 +99,21 @@ def similar_lines(
     signed = signed.select("key", *[F.col("bands")[j].alias(f"b{j}") for j in range(count)])
     distinct = signed.groupBy("key").agg(*[F.first(f"b{j}").alias(f"b{j}") for j in range(count)])
     held = distinct.select("key", F.explode(F.array(*[f"b{j}" for j in range(count)])).alias("band"))
-    ends = held.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("n > 1")
-    met = pinned(held.join(ends, "band").select("key", "low", "high", F.when(F.col("n") > 3, F.col("band")).alias("crowd")))
+    ends = held.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    met = pinned(held.join(ends, "band").select("band", "key", "low", "high"))
+    crowds = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 3")
+    members = pinned(met.join(crowds, "band").select("band", "key"))
     pairs = met.select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end")
     pairs = pairs.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
-    # Both sides of the pairs use one shuffle of the lines by key.
-    roots = components(_alike(pairs, _sets(lines, met, size), percent))
-    crowded = met.where("crowd is not null").select("crowd", "key").distinct()
-    more = components(_crowded_links(lines, crowded, roots, size, percent))
+    chosen = lines.select("key", "line").join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    sets = chosen.select("key", shingles("line", size).alias("s"))
+    # One shuffle of the lines by key serves both sides of the pairs and the sets kept for the crowded buckets.
+    crowded = sets.join(members.select("key").distinct(), "key", "left_semi")
+    first = _alike(pairs, sets, percent).select("a", "b", F.lit(None).cast("array<bigint>").alias("s"))
+    seen = pinned(first.union(crowded.select("key", F.lit(None).cast("long"), "s")))
+    roots = components(seen.where("s is null").select("a", "b"))
+    kept = seen.where("s is not null").select(F.col("a").alias("key"), "s")
+    more = components(_stray_links(pinned(_strays(members, roots)), kept, percent))
     moved = more.select(F.col("node").alias("root"), F.col("root").alias("new"))
     return roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")).union(more)
 
