@@ -63,20 +63,23 @@ def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (`a`, `b`) between roots for all similar pairs of a stray and a line with another root.
 
     An exact join by prefix, length and positional filters, the rarest shingles first: two similar lines share a
-    shingle of their prefixes. Lines with one root are never paired.
+    shingle of their prefixes. A bitmap of each set bounds from below the shingles that only one of two lines has.
+    Lines with one root are never paired.
     """
     held = lines.join(sets, "key").select("key", F.explode("s").alias("h"))
     held = held.join(held.groupBy("h").agg(F.count("*").alias("n")), "h")
     one = Window.partitionBy("key")
     held = held.withColumn("place", F.row_number().over(one.orderBy("n", "h"))).withColumn("m", F.count("*").over(one))
     prefix = held.where(f"n > 1 and 100 * (place - 1) <= {100 - percent} * m").select("key", "h", "place", "m")
-    prefix = pinned(prefix.join(lines, "key"))
+    bits = F.aggregate("s", F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64 + 64).cast("int"))))
+    prefix = pinned(prefix.join(lines.join(sets, "key").select("key", "root", "stray", bits.alias("bits")), "key"))
     met = prefix.where("stray").alias("x").join(
         prefix.alias("y"),
         F.expr(
             f"""x.h = y.h and x.root <> y.root and (not y.stray or x.key < y.key)
             and 100 * least(x.m, y.m) >= {percent} * greatest(x.m, y.m)
-            and {100 + percent} * (1 + least(x.m - x.place, y.m - y.place)) >= {percent} * (x.m + y.m)"""
+            and {100 + percent} * (1 + least(x.m - x.place, y.m - y.place)) >= {percent} * (x.m + y.m)
+            and {100 + percent} * bit_count(x.bits ^ y.bits) <= {100 - percent} * (x.m + y.m)"""
         ),
     )
     pairs = met.selectExpr("x.key as a", "y.key as b", "x.root as ra", "y.root as rb").distinct()
