@@ -60,7 +60,7 @@ def _strays(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (`a`, `b`) between roots for all similar pairs of a stray and a line with another root.
+    """Edges (`a`, `b`) that connect all similar pairs of a stray and a line with another root, and each line with its root.
 
     An exact join by prefix, length and positional filters, the rarest shingles first: two similar lines share a
     shingle of their prefixes. A bitmap of each set bounds from below the shingles that only one of two lines has.
@@ -73,8 +73,15 @@ def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = held.where(f"n > 1 and 100 * (place - 1) <= {100 - percent} * m").select("key", "h", "place", "m")
     bits = F.aggregate("s", F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64 + 64).cast("int"))))
     prefix = pinned(prefix.join(lines.join(sets, "key").select("key", "root", "stray", bits.alias("bits")), "key"))
-    met = prefix.where("stray").alias("x").join(
-        prefix.alias("y"),
+    # First each line meets the least and the greatest line of its prefix shingles; large groups fall together here.
+    ends = prefix.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    near = prefix.join(ends, "h").select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end")
+    near = near.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
+    rooted = lines.select(F.col("root").alias("a"), F.col("key").alias("b"))
+    found = components(_alike(near, sets, percent).union(rooted)).withColumnRenamed("root", "new")
+    joined = prefix.join(found, prefix["key"] == found["node"], "left").withColumn("root", F.coalesce("new", "key"))
+    met = joined.where("stray").alias("x").join(
+        joined.alias("y"),
         F.expr(
             f"""x.h = y.h and x.root <> y.root and (not y.stray or x.key < y.key)
             and 100 * least(x.m, y.m) >= {percent} * greatest(x.m, y.m)
@@ -83,7 +90,8 @@ def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ),
     )
     pairs = met.selectExpr("x.key as a", "y.key as b", "x.root as ra", "y.root as rb").distinct()
-    return _alike(pairs, sets, percent).selectExpr("ra as a", "rb as b").distinct()
+    late = _alike(pairs, sets, percent).selectExpr("ra as a", "rb as b").distinct()
+    return late.union(found.select(F.col("new").alias("a"), F.col("node").alias("b")))
 
 
 def similar_lines(
@@ -118,7 +126,8 @@ def similar_lines(
     kept = seen.where("s is not null").select(F.col("a").alias("key"), "s")
     more = components(_stray_links(pinned(_strays(members, roots)), kept, percent))
     moved = more.select(F.col("node").alias("root"), F.col("root").alias("new"))
-    return roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")).union(more)
+    others = more.join(roots, "node", "left_anti")
+    return roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")).union(others)
 
 
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
