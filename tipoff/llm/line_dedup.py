@@ -59,31 +59,52 @@ def _strays(members: DataFrame, roots: DataFrame) -> DataFrame:
     return held.agg(F.max(F.col("root") != F.col("main.root")).alias("stray"))
 
 
+def _parities() -> list[Column]:
+    """256 parity bits of the shingles `h` of a window, in four numbers.
+
+    A bit in which two sets differ stands for at least one shingle that only one of them has.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    part = F.shiftrightunsigned("h", 6).bitwiseAND(3)
+    return [F.bit_xor(F.when(part == j, bit).otherwise(0)) for j in range(4)]
+
+
 def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (`a`, `b`) between roots for all similar pairs of a stray and a line with another root.
+    """Edges (`a`, `b`) between roots that connect all similar pairs of a stray and a line with another root.
 
     An exact join by prefix, length and positional filters, the rarest shingles first: two similar lines share a
-    shingle of their prefixes. A bitmap of each set bounds from below the shingles that only one of two lines has.
-    Lines with one root are never paired.
+    shingle of their prefixes. Parity bits bound from below the shingles that only one of two lines has. The most
+    promising pair of each two roots is verified first; roots so linked need no more, and all pairs of the others
+    are verified after it. Lines with one root are never paired.
     """
     held = lines.join(sets, "key").select("key", F.explode("s").alias("h"))
     held = held.join(held.groupBy("h").agg(F.count("*").alias("n")), "h")
     one = Window.partitionBy("key")
     held = held.withColumn("place", F.row_number().over(one.orderBy("n", "h"))).withColumn("m", F.count("*").over(one))
-    prefix = held.where(f"n > 1 and 100 * (place - 1) <= {100 - percent} * m").select("key", "h", "place", "m")
-    bits = F.aggregate("s", F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64 + 64).cast("int"))))
-    prefix = pinned(prefix.join(lines.join(sets, "key").select("key", "root", "stray", bits.alias("bits")), "key"))
+    held = held.withColumns({f"p{j}": p.over(one) for j, p in enumerate(_parities())})
+    prefix = held.where(f"n > 1 and 100 * (place - 1) <= {100 - percent} * m").drop("n")
+    prefix = pinned(prefix.join(lines, "key"))
+    odd = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(4))
     met = prefix.where("stray").alias("x").join(
         prefix.alias("y"),
         F.expr(
             f"""x.h = y.h and x.root <> y.root and (not y.stray or x.key < y.key)
             and 100 * least(x.m, y.m) >= {percent} * greatest(x.m, y.m)
             and {100 + percent} * (1 + least(x.m - x.place, y.m - y.place)) >= {percent} * (x.m + y.m)
-            and {100 + percent} * bit_count(x.bits ^ y.bits) <= {100 - percent} * (x.m + y.m)"""
+            and {100 + percent} * ({odd}) <= {100 - percent} * (x.m + y.m)"""
         ),
     )
-    pairs = met.selectExpr("x.key as a", "y.key as b", "x.root as ra", "y.root as rb").distinct()
-    return _alike(pairs, sets, percent).selectExpr("ra as a", "rb as b").distinct()
+    met = met.selectExpr(
+        "x.key as a", "y.key as b", "least(x.root, y.root) as ra", "greatest(x.root, y.root) as rb", f"({odd}) / (x.m + y.m) as gap"
+    )
+    met = pinned(met.distinct())
+    best = met.groupBy("ra", "rb").agg(F.min(F.struct("gap", "a", "b")).alias("best")).select("best.a", "best.b", "ra", "rb")
+    linked = pinned(_alike(best, sets, percent).select("ra", "rb"))
+    joined = linked.groupBy("rb").agg(F.min("ra").alias("to"))
+    rest = met.join(joined, "rb", "left").join(joined.select(F.col("rb").alias("ra"), F.col("to").alias("other")), "ra", "left")
+    rest = rest.where(F.coalesce("to", "rb") != F.coalesce("other", "ra")).select("a", "b", "ra", "rb")
+    rest = rest.join(linked, ["ra", "rb"], "left_anti")
+    return linked.union(_alike(rest, sets, percent).select("ra", "rb")).distinct().toDF("a", "b")
 
 
 def similar_lines(
