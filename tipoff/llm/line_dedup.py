@@ -12,7 +12,7 @@ from tipoff.session import pinned
 
 def shingles(line: str | Column, size: int) -> Column:
     """Distinct hashes, in ascending order, of the `size` characters from each word start (fewer at the end)."""
-    cut = F.regexp_extract_all(line, F.lit(r"(?<!\S)(?=(\S.{0,%d}))" % (size - 1)), F.lit(1))
+    cut = F.regexp_extract_all(line, F.lit(r"(?=(\S.{0,%d}))\S+" % (size - 1)), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s))))
 
 
@@ -60,13 +60,13 @@ def _strays(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _parities() -> list[Column]:
-    """256 parity bits of the shingles `h` of a window, in four numbers.
+    """128 parity bits of the shingles `h` of a group, in two numbers.
 
     A bit in which two sets differ stands for at least one shingle that only one of them has.
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    part = F.shiftrightunsigned("h", 6).bitwiseAND(3)
-    return [F.bit_xor(F.when(part == j, bit).otherwise(0)) for j in range(4)]
+    part = F.shiftrightunsigned("h", 6).bitwiseAND(1)
+    return [F.bit_xor(F.when(part == j, bit).otherwise(0)) for j in range(2)]
 
 
 def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -84,7 +84,7 @@ def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = held.withColumns({f"p{j}": p.over(one) for j, p in enumerate(_parities())})
     prefix = held.where(f"n > 1 and 100 * (place - 1) <= {100 - percent} * m").drop("n")
     prefix = pinned(prefix.join(lines, "key"))
-    odd = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(4))
+    odd = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(2))
     met = prefix.where("stray").alias("x").join(
         prefix.alias("y"),
         F.expr(
@@ -123,13 +123,13 @@ def similar_lines(
     signed = signed.select("key", *[F.col("bands")[j].alias(f"b{j}") for j in range(count)])
     distinct = signed.groupBy("key").agg(*[F.first(f"b{j}").alias(f"b{j}") for j in range(count)])
     held = distinct.select("key", F.explode(F.array(*[f"b{j}" for j in range(count)])).alias("band"))
-    ends = held.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    met = pinned(held.join(ends, "band").select("band", "key", "low", "high"))
-    crowds = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 3")
-    members = pinned(met.join(crowds, "band").select("band", "key"))
+    ends = held.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    met = held.join(ends.where("low < high"), "band")
+    met = pinned(met.select(F.when(F.col("n") > 3, F.col("band")).alias("crowd"), "key", "low", "high"))
+    members = met.where("crowd is not null").select(F.col("crowd").alias("band"), "key")
     pairs = met.select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end")
     pairs = pairs.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
-    chosen = lines.select("key", "line").join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    chosen = lines.select("key", "line").dropDuplicates(["key"]).join(met.select("key").distinct(), "key", "left_semi")
     sets = chosen.select("key", shingles("line", size).alias("s"))
     # One shuffle of the lines by key serves both sides of the pairs and the sets kept for the crowded buckets.
     crowded = sets.join(members.select("key").distinct(), "key", "left_semi")
@@ -152,18 +152,22 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     one document, so a line kept in one is kept in each. Very long texts are taken whole.
     """
     lines = _lines(docs, id_col, text_col)
-    roots = similar_lines(lines, **options).withColumnRenamed("node", "key")
-    placed = (
-        lines.select("key", "doc_id", "version", "line_no")
-        .join(roots, "key", "left")
-        .select(F.coalesce("root", "key").alias("root"), F.struct("doc_id", "version", "line_no").alias("place"))
-    )
-    keepers = placed.groupBy("root").agg(F.min("place").alias("keeper"))
-    return placed.join(keepers, "root").select(
+    places = lines.select("key", F.struct("doc_id", "version", "line_no").alias("place"))
+    roots = similar_lines(lines, **options).select(F.col("node").alias("key"), "root")
+    roots = roots.union(roots.select("root", "root").distinct())
+    # Only lines that repeat or are linked need a keeper; their table meets the lines in a join that can be split.
+    first = places.groupBy("key").agg(F.min("place").alias("keeper"), F.count("*").alias("n")).join(roots, "key", "left")
+    first = pinned(first.where("n > 1 or root is not null").select("key", "root", "keeper"))
+    linked = first.where("root is not null")
+    heads = linked.groupBy("root").agg(F.min("keeper").alias("keeper"))
+    keepers = linked.select("key", "root").join(heads, "root").select("key", "keeper")
+    keepers = keepers.union(first.where("root is null").select("key", "keeper"))
+    keeper = F.coalesce("keeper", "place")
+    return places.join(keepers, "key", "left").select(
         "place.*",
-        F.col("keeper.doc_id").alias("keeper_doc_id"),
-        F.col("keeper.line_no").alias("keeper_line_no"),
-        (F.col("place") == F.col("keeper")).alias("kept"),
+        keeper["doc_id"].alias("keeper_doc_id"),
+        keeper["line_no"].alias("keeper_line_no"),
+        (F.col("place") == keeper).alias("kept"),
     )
 
 
