@@ -266,6 +266,25 @@ def test_crowded_buckets_of_lines(spark):
     assert {(r["doc_id"], r["keeper_doc_id"]) for r in got} == {(i, i - i % 10) for i, _ in rows}
 
 
+def test_lines_of_long_words(spark):
+    """URLs, text without blanks and long tokens, against brute force on the shingles at all positions."""
+    han = "\u6771\u4eac\u3067\u4eca\u65e5\u306f\u96e8\u304c\u964d\u308a\u307e\u3057\u305f"
+    lines = [
+        "https://www.example.com/alpha", "https://www.example.com/omega/entirely/other", "https://www.example.com/omega/entirely/other1",
+        han + "\u5098\u3092\u6301\u3063\u3066\u51fa\u304b\u3051\u305f", han + "\u8a66\u5408\u306f\u4e2d\u6b62\u306b\u306a\u3063\u305f\u3068\u805e\u3044\u305f",
+        "commit_" + "0123456789abcdef" * 2, "commit_" + "0123456789abfedc" * 2, "x" * 12 + "y", "x" * 12 + "z", "exactly12abc", "exactly12abcd",
+    ]
+    sets = [{x[i : i + 12] for i in range(len(x) - 11)} for x in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    got = line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["keeper_doc_id"] for r in got} == {i: root.index(root[i]) for i in range(len(lines))}
+    assert len(set(root)) == len(lines) - 1
+
+
 def test_packing(spark, sf, documents, odd, nothing):
     from tokenizers import Tokenizer
 

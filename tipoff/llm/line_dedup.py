@@ -11,8 +11,12 @@ from tipoff.session import pinned
 
 
 def shingles(line: str | Column, size: int) -> Column:
-    """Distinct hashes, in ascending order, of the `size` characters from each word start (fewer at the end)."""
-    cut = F.regexp_extract_all(line, F.lit(r"(?=(\S.{0,%d}))\S+" % (size - 1)), F.lit(1))
+    """Distinct hashes, in ascending order, of the `size` characters from each word start (fewer at the end).
+
+    In a word longer than `size` they start at every character up to the last `size` ones, so that every character
+    of the line is in a shingle, and a line that is one such word has all its shingles.
+    """
+    cut = F.regexp_extract_all(line, F.lit(r"(?=(\S.{0,%d}))(?:\S(?=\S{%d})|\S+)" % (size - 1, size)), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s))))
 
 
