@@ -184,6 +184,20 @@ def test_licenses_on_odd_rows(spark, odd, nothing):
     assert {r["n_words"] for r in rows if not (r["text"] or "").strip()} == {0} and scan_licenses(nothing).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    texts = {
+        "mit": "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation\n * files (the Software)",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following\r\n# conditions are met:",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\n\nPublic License as published",
+    }
+    rows = [(k, pre + t + post) for k, t in texts.items() for pre in ("", "word " * 250, "a b\n" * 700) for post in ("", "\nand more" * 200)]
+    got = scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert [r["name"] for r in got if r["labels"] != [r["name"]]] == [] and len(got) == len(rows)
+    far = [("far", "Released the notes.\n" + "word " * 60 + "under the table\n" + "word " * 60 + "license of mit")]
+    assert scan_licenses(spark.createDataFrame(far, "name string, text string")).first()["labels"] == []
+
+
 def test_fingerprints_on_odd_rows(spark, odd, nothing):
     rows = FP.fingerprint_documents(odd).collect()
     assert len(rows) == len(set(ROWS)) and FP.fingerprint_documents(nothing).count() == 0

@@ -1,4 +1,4 @@
-"""License scan: exact set-similarity join of text blocks with license templates, with DataFrame functions only."""
+"""License scan: exact set-similarity join of windows of words with license templates, with DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -28,6 +28,9 @@ TEMPLATES = (
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+# Window starts of one block of words.
+_STEP = 256
+
 
 def _needed(size: int, percent: int) -> int:
     return max(1, -(-size * percent // 100))
@@ -38,49 +41,69 @@ def _text(docs: DataFrame, text_col: str) -> Column:
     return F.lower(F.coalesce(named(text_col).cast("string"), F.lit("")))
 
 
-def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row for each line, with its words and the hashes that name its text."""
+def _words(docs: DataFrame, text_col: str) -> DataFrame:
+    """The words of each text in order, with the hashes that name the text."""
     text = named(text_col).cast("string")
-    lines = docs.select(F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), F.explode(F.split(_text(docs, text_col), "\n")).alias("line"))
-    return lines.select("h", "c", F.split("line", _GAP).alias("words"))
+    return docs.select(F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), F.split(_text(docs, text_col), _GAP).alias("words"))
+
+
+def _window(text: str) -> int:
+    """Words of a text in which a template is looked for: its own number and a quarter more."""
+    n = len(re.findall(_WORD, text.lower()))
+    return n + 2 + n // 4
 
 
 def template_matches(
     docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *, percent: int = 80, text_col: str = "text"
 ) -> DataFrame:
-    """(`h`, `c`, `label`, `share`): texts, by two hashes, with a line that holds `percent` of a template's words or more.
+    """(`h`, `c`, `label`, `share`): texts, by two hashes, with a window that holds `percent` of a template's words or more.
+
+    A window is a run of words little longer than the template; it slides word by word over line ends. Texts are cut
+    into blocks of `_STEP` window starts that overlap by a window, so each window lies whole in one block, and a block is
+    held against a template before its windows are.
 
-    Words are ordered by their count over all documents, rarest first. A line that meets the threshold shares
+    Words are ordered by their count over all documents, rarest first. A block with such a window shares
     one of the first |T| - needed + 1 words of the template (prefix filter); it holds at least `needed` template
     words (length filter); and where its first shared word stands, enough words follow on both sides (positional
-    filter). Words of no template cannot count, so they stand before all others and lines are compared without
-    them. The join is on the prefix words only, a table bounded by the templates; what passes is counted exactly.
+    filter). Words of no template cannot count, so they stand before all others and blocks are compared without
+    them. The join is on the prefix words only, a table bounded by the templates; what passes is counted exactly,
+    window by window.
     """
     spark = docs.sparkSession
-    sets = [(label, sorted(set(re.findall(_WORD, text.lower())))) for label, text in templates]
-    vocabulary = sorted({w for _, words in sets for w in words})
-    blocks = _blocks(docs, text_col)
+    sets = [(label, sorted(set(re.findall(_WORD, text.lower()))), _window(text)) for label, text in templates]
+    vocabulary = sorted({w for _, words, _ in sets for w in words})
+    texts = _words(docs, text_col)
     # one number for each template word: bounded by the templates
-    seen = blocks.select(F.explode("words").alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").count()
+    seen = texts.select(F.explode("words").alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").count()
     counts = dict(map(tuple, seen.collect()))
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank, prefixes = {w: i for i, w in enumerate(order)}, []
-    for number, (label, words) in enumerate(sets):
+    for number, (label, words, window) in enumerate(sets):
         words, need = sorted(words, key=rank.__getitem__), _needed(len(words), percent)
-        prefixes += [(w, number, label, words, need, i) for i, w in enumerate(words[: len(words) - need + 1])]
-    prefix = spark.createDataFrame(prefixes, "word string, template int, label string, holds array<string>, need int, at int")
-    met = blocks.select("h", "c", "words", F.explode("words").alias("word")).join(F.broadcast(prefix), "word")
+        prefixes += [(w, number, label, words, need, i, window) for i, w in enumerate(words[: len(words) - need + 1])]
+    ddl = "word string, template int, label string, holds array<string>, need int, at int, window int"
+    prefix = spark.createDataFrame(prefixes, ddl)
+    reach = max(window for _, _, window in sets) - 1
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(_STEP))
+    blocks = texts.select("h", "c", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.lit(_STEP + reach)))).alias("words"))
+    first_words = F.array([F.lit(w) for w in sorted({p[0] for p in prefixes})])
+    met = blocks.select("h", "c", "words", F.explode(F.array_intersect(first_words, "words")).alias("word"))
+    met = met.join(F.broadcast(prefix), "word")
     met = met.withColumn("own", F.array_intersect(F.array([F.lit(w) for w in order]), "words"))
     after = F.least(F.size("holds") - F.col("at"), F.size("own") - F.array_position("own", F.col("word")).cast("int") + 1)
     both = F.size(F.array_intersect("holds", "own"))
     kept = met.where(F.size("own") >= F.col("need")).where(after >= F.col("need")).where(both >= F.col("need"))
-    return kept.groupBy("h", "c", "label").agg(F.max(both / F.size("holds")).alias("share"))
+    one = kept.select("h", "c", "template", "label", "holds", "need", "window", "words").distinct()
+    places = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("window") + 1, F.lit(1)))
+    found = F.array_max(F.transform(places, lambda i: F.size(F.array_intersect("holds", F.slice("words", i, F.col("window"))))))
+    held = one.withColumn("found", found).where(F.col("found") >= F.col("need"))
+    return held.groupBy("h", "c", "label").agg(F.max(F.col("found") / F.size("holds")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """`docs` with `n_words`, `places` (array of phrase, start word), `base_labels`, `labels` (arrays) and `score`.
 
-    `places` are all runs of a phrase's words; `labels` adds those of the templates that a line meets. The score
+    `places` are all runs of a phrase's words; `labels` adds those of the templates that a window of words meets. The score
     is 1 where a phrase stands, else the greatest share of a met template's words, else 0. Texts are named by two hashes to
     join what the templates met; copies share one row there, whatever their number.
 
