@@ -198,6 +198,15 @@ def test_wrapped_licenses(spark):
     assert scan_licenses(spark.createDataFrame(far, "name string, text string")).first()["labels"] == []
 
 
+def test_other_licenses_have_no_label(spark):
+    texts = ["Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "Released under the Apache License.", "Released under the BSD License.",
+             "We released it under the old name. The license of 1990 is gone", "Released notes of mit" + " of the house" * 20 + " under license"]
+    right = {"Licensed under CC BY-NC 4.0": ["cc-by-nc"], "Licensed under the Apache License": ["apache"], "Released by us under the\nMIT license": ["mit"]}
+    rows = [(t, []) for t in texts if "Apache" not in t] + [(texts[2], ["apache"]), *right.items()]
+    got = scan_licenses(spark.createDataFrame(rows, "text string, want array<string>")).collect()
+    assert [(r["text"], r["labels"]) for r in got if r["labels"] != r["want"]] == [] and len(got) == len(rows)
+
+
 def test_fingerprints_on_odd_rows(spark, odd, nothing):
     rows = FP.fingerprint_documents(odd).collect()
     assert len(rows) == len(set(ROWS)) and FP.fingerprint_documents(nothing).count() == 0

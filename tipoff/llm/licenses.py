@@ -25,6 +25,12 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 
+# Words without which a text is no notice of the label, whatever else it shares with a template.
+REQUIRED = {
+    "mit": ({"mit"}, {"associated"}), "apache": ({"apache"},), "gpl": ({"general", "public"},), "bsd": ({"redistribution", "binary"},),
+    "cc-by-nc": ({"cc", "nc"},), "cc-by": ({"creative", "commons", "attribution"},), "mpl": ({"mozilla"},),
+}
+
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -47,6 +53,11 @@ def _words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), F.split(_text(docs, text_col), _GAP).alias("words"))
 
 
+def _required(label: str, words: list[str]) -> list[str]:
+    """The first set of the label's required words that the template holds itself; none for other labels."""
+    return sorted(next((r for r in REQUIRED.get(label, ()) if r <= set(words)), ()))
+
+
 def _window(text: str) -> int:
     """Words of a text in which a template is looked for: its own number and a quarter more."""
     n = len(re.findall(_WORD, text.lower()))
@@ -58,7 +69,8 @@ def template_matches(
 ) -> DataFrame:
     """(`h`, `c`, `label`, `share`): texts, by two hashes, with a window that holds `percent` of a template's words or more.
 
-    A window is a run of words little longer than the template; it slides word by word over line ends. Texts are cut
+    A window is a run of words little longer than the template; it slides word by word over line ends. The words of
+    `REQUIRED` that tell the template from other notices must be among those it holds. Texts are cut
     into blocks of `_STEP` window starts that overlap by a window, so each window lies whole in one block, and a block is
     held against a template before its windows are.
 
@@ -80,8 +92,8 @@ def template_matches(
     rank, prefixes = {w: i for i, w in enumerate(order)}, []
     for number, (label, words, window) in enumerate(sets):
         words, need = sorted(words, key=rank.__getitem__), _needed(len(words), percent)
-        prefixes += [(w, number, label, words, need, i, window) for i, w in enumerate(words[: len(words) - need + 1])]
-    ddl = "word string, template int, label string, holds array<string>, need int, at int, window int"
+        prefixes += [(w, number, label, words, need, i, window, _required(label, words)) for i, w in enumerate(words[: len(words) - need + 1])]
+    ddl = "word string, template int, label string, holds array<string>, need int, at int, window int, must array<string>"
     prefix = spark.createDataFrame(prefixes, ddl)
     reach = max(window for _, _, window in sets) - 1
     starts = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(_STEP))
@@ -93,9 +105,12 @@ def template_matches(
     after = F.least(F.size("holds") - F.col("at"), F.size("own") - F.array_position("own", F.col("word")).cast("int") + 1)
     both = F.size(F.array_intersect("holds", "own"))
     kept = met.where(F.size("own") >= F.col("need")).where(after >= F.col("need")).where(both >= F.col("need"))
-    one = kept.select("h", "c", "template", "label", "holds", "need", "window", "words").distinct()
+    kept = kept.where(F.size(F.array_intersect("must", "own")) == F.size("must"))
+    one = kept.select("h", "c", "template", "label", "holds", "need", "must", "window", "words").distinct()
     places = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("window") + 1, F.lit(1)))
-    found = F.array_max(F.transform(places, lambda i: F.size(F.array_intersect("holds", F.slice("words", i, F.col("window"))))))
+    windows = F.transform(places, lambda i: F.array_intersect("holds", F.slice("words", i, F.col("window"))))
+    meant = F.filter(windows, lambda w: F.size(F.array_intersect("must", w)) == F.size("must"))
+    found = F.array_max(F.transform(meant, lambda w: F.size(w)))
     held = one.withColumn("found", found).where(F.col("found") >= F.col("need"))
     return held.groupBy("h", "c", "label").agg(F.max(F.col("found") / F.size("holds")).alias("share"))
 
