@@ -122,6 +122,24 @@ def test_near_duplicates(spark, sf, documents, odd, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+def test_one_of_each_group_by_jaccard(spark):
+    """Edited copies at 0.8 and more go, those below stay, against brute force on five-word shingles."""
+    rng = np.random.default_rng(5)
+    rows, sets = [], []
+    for g in range(60):
+        base = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        for v in range(2):
+            words = list(base)
+            for at in rng.choice(len(words), v * int(rng.integers(1, 1 + len(words) // 25)), False):
+                words[at] = f"new{at}"
+            rows.append((2 * g + v, " ".join(words)))
+            sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    like = [100 * len(sets[2 * g] & sets[2 * g + 1]) >= 80 * len(sets[2 * g] | sets[2 * g + 1]) for g in range(60)]
+    assert 15 < sum(like) < 55
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted([2 * g for g in range(60)] + [2 * g + 1 for g in range(60) if not like[g]])
+
+
 def test_bit_planes_find_all_pairs():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 8, 300).astype("u8") | (rng.integers(0, 4, 300).astype("u8") << np.uint64(60))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,19 @@ def similar_lines(
     """
     signed = lines.select("key", bands(shingles("line", size), count, rows).alias("bands"))
     signed = signed.select("key", *[F.col("bands")[j].alias(f"b{j}") for j in range(count)])
+
+    def sets(keys: DataFrame) -> DataFrame:
+        chosen = lines.select("key", "line").dropDuplicates(["key"]).join(keys, "key", "left_semi")
+        return chosen.select("key", shingles("line", size).alias("s"))
+
+    return linked_keys(signed, count, sets, percent)
+
+
+def linked_keys(signed: DataFrame, count: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(`node`, `root`) as `similar_lines` has it, from the bands `b0`, `b1`, ... of each `key`.
+
+    `sets_of` gives the sets (`key`, `s`) of a table of distinct keys, one row for each key.
+    """
     distinct = signed.groupBy("key").agg(*[F.first(f"b{j}").alias(f"b{j}") for j in range(count)])
     held = distinct.select("key", F.explode(F.array(*[f"b{j}" for j in range(count)])).alias("band"))
     ends = held.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
@@ -133,8 +148,7 @@ def similar_lines(
     members = met.where("crowd is not null").select(F.col("crowd").alias("band"), "key")
     pairs = met.select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end")
     pairs = pairs.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
-    chosen = lines.select("key", "line").dropDuplicates(["key"]).join(met.select("key").distinct(), "key", "left_semi")
-    sets = chosen.select("key", shingles("line", size).alias("s"))
+    sets = sets_of(met.select("key").distinct())
     # One shuffle of the lines by key serves both sides of the pairs and the sets kept for the crowded buckets.
     crowded = sets.join(members.select("key").distinct(), "key", "left_semi")
     first = _alike(pairs, sets, percent).select("a", "b", F.lit(None).cast("array<bigint>").alias("s"))
