@@ -16,6 +16,7 @@ from tipoff.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from tipoff.llm.line_dedup import line_classes
 from tipoff.llm.packing import pack
 from tipoff.llm.quality import fit_quality, quality_scores
+from tipoff.llm.ranking import rank_documents
 from tipoff.llm.sharding import uniform_shards
 from tipoff.llm.simhash_dedup import as_hex, near_duplicates
 from tipoff.llm.warc import archive
@@ -203,3 +204,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every page, as read back from the archives."""
     index = archive(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP11 = f"""
+WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
+l AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM l),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY term, nn),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY item_id, term),
+r AS (SELECT item_id, doc_id, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN l USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op11_lexical_search", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
