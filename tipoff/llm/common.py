@@ -41,11 +41,12 @@ def learnable(doc_id: Column) -> Column:
 
 
 def with_arrow(
-    df: DataFrame, fields: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]], weigh: str = "text"
+    df: DataFrame, fields: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]], weigh: str = "text",
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """`df` with the columns `fields`, which `fn` makes for each slice of a batch.
 
-    Slices hold about SLICE_BYTES of the text column `weigh`, or a single longer text. A column of `df`
+    Slices hold about `slice_bytes` of the text column `weigh`, or a single longer text. A column of `df`
     that is called like one of `fields` is replaced.
     """
     kept = without(df, fields.names)
@@ -53,14 +54,14 @@ def with_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, weigh):
+            for part in slices(batch, weigh, slice_bytes):
                 yield pa.RecordBatch.from_arrays(part.columns + fn(part), schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, weigh: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about SLICE_BYTES in the column `weigh`."""
+def slices(batch: pa.RecordBatch, weigh: str, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `slice_bytes` in the column `weigh`."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -71,7 +72,7 @@ def slices(batch: pa.RecordBatch, weigh: str) -> Iterator[pa.RecordBatch]:
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + slice_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipoff.llm.alignment import align_documents
 from tipoff.llm.common import held_out, table
 from tipoff.llm.decontamination import find_benchmark, is_contaminated, n_hit
 from tipoff.llm.fingerprints import fingerprint_documents, within_radius
@@ -223,3 +224,10 @@ FROM r WHERE score > 0 QUALIFY rank <= 10"""
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level and a piece tokenizer line up in every document."""
+    files = [str(public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    return align_documents(table(spark, sf_dir, "documents"), files[0], files[1], a_ranks=files[2])
