@@ -20,6 +20,7 @@ from tipoff.llm.quality import fit_quality, quality_scores
 from tipoff.llm.ranking import rank_documents
 from tipoff.llm.sharding import uniform_shards
 from tipoff.llm.simhash_dedup import as_hex, near_duplicates
+from tipoff.llm.suffixes import distinct_without_repeats, without_repeats
 from tipoff.llm.warc import archive
 from tipoff.plans.registry import Query
 from tipoff.session import pinned
@@ -231,3 +232,15 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of a byte-level and a piece tokenizer line up in every document."""
     files = [str(public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
     return align_documents(table(spark, sf_dir, "documents"), files[0], files[1], a_ranks=files[2])
+
+
+@query("op13_suffix_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 400 bytes that also start elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lengths = F.transform("spans", lambda s: (s["end"] - s["start"]).cast("long"))
+    found = distinct_without_repeats(docs).select(
+        "text_1", "text_2", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda n, x: n + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    return without_repeats(docs, results=found).drop("text")
