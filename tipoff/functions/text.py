@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 from tipoff import fixed_values as fixed
 from tipoff.functions.casts import to_int
+from tipoff.functions.similarity import similarity
 
 
 def _folds() -> dict[str, str]:
@@ -127,18 +127,6 @@ def light_name(c: Column) -> Column:
     return F.replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit("."), F.lit(""))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; null when a side is null."""
-    return pd.Series(
-        [
-            None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
-            for a, b in zip(left, right)
-        ],
-        dtype="float64",
-    )
-
-
 def with_name_match(df: DataFrame, left: str, right: str, out: str, threshold: float = 0.9) -> DataFrame:
     """How two person names agree: exact, shared key, similar, none or missing.
 

@@ -270,14 +270,58 @@ def _misspelled(spark, folder):
     return table(spark, folder, "part").select("p_partkey", normalize_text(key).alias("key"))
 
 
-@query("fuzzy_crosswalk")
+# Matching blocks of pairs of names in SQL: the longest common block of a pair (first in a, then first in b) leaves the
+# parts before and after it, which are pairs of their own.
+_RATIOS = """
+asked AS (SELECT p_partkey, lower(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN left(p_name, pos - 1) || substr(p_name, pos + 1)
+    WHEN 2 THEN left(p_name, pos) || substr(p_name, pos) ELSE reverse(p_name) END) AS raw
+  FROM (SELECT *, CAST(p_partkey % length(p_name) + 1 AS INTEGER) AS pos FROM part)),
+keyed AS (SELECT p_partkey, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS key FROM asked),
+names AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS other, p_name FROM part),
+pairs AS (SELECT k.key, n.other FROM (SELECT DISTINCT key FROM keyed) k, names n),
+boxes AS (
+  SELECT key, other, key AS a, other AS b, 0 AS matched FROM pairs
+  UNION ALL
+  SELECT key, other, side.a, side.b, side.matched FROM (
+    SELECT key, other, unnest([
+      {'a': substr(a, 1, hit.i), 'b': substr(b, 1, instr(b, substr(a, hit.i + 1, hit.n)) - 1), 'matched': hit.n},
+      {'a': substr(a, hit.i + hit.n + 1), 'b': substr(b, instr(b, substr(a, hit.i + 1, hit.n)) + hit.n), 'matched': 0}]) AS side
+    FROM (SELECT *, list_filter(flatten(list_transform(range(length(a), 0, -1), lambda n:
+        list_transform(range(0, length(a) - n + 1), lambda i: {'n': n, 'i': i}))),
+        lambda x: instr(b, substr(a, x.i + 1, x.n)) > 0)[1] AS hit FROM boxes WHERE a <> '' AND b <> '')
+    WHERE hit IS NOT NULL)),
+scored AS (SELECT key, other, 2.0 * SUM(matched) / (length(key) + length(other)) AS score FROM boxes GROUP BY 1, 2),
+best AS (SELECT * FROM scored WHERE score > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY key ORDER BY score DESC, other) = 1)"""
+
+
+@query(
+    "fuzzy_crosswalk",
+    f"""
+WITH RECURSIVE {_RATIOS},
+m AS (SELECT k.*, k.key = 'gnir llams' AS skip, b.other, b.score, n.p_name FROM keyed k LEFT JOIN best b USING (key) LEFT JOIN names n USING (other)),
+t AS (SELECT *, CASE WHEN skip THEN 'known_unmatched' WHEN score IS NULL THEN 'no_match' WHEN score = 1 THEN 'canonical_exact'
+  WHEN score >= 0.94 THEN 'fuzzy_high' WHEN score >= 0.86 THEN 'fuzzy_review' ELSE 'low_confidence' END AS match_type,
+  CASE WHEN skip THEN 0.0 ELSE coalesce(score, 0.0) END AS match_score FROM m)
+SELECT p_partkey, key, CASE WHEN NOT skip THEN other END AS known_key, CASE WHEN NOT skip THEN p_name END AS known_p_name, match_type,
+  ROUND(match_score, 6) AS match_score,
+  match_type <> 'known_unmatched' AND (match_score < 0.94 OR match_type IN ('fuzzy_review', 'low_confidence', 'no_match')) AS needs_review
+FROM t
+""",
+)
 def fuzzy_crosswalk(spark, folder):
     universe = table(spark, folder, "part").select(normalize_text(F.col("p_name")).alias("key"), "p_name").distinct()
     sources = _misspelled(spark, folder)
-    return X.crosswalk(sources, universe, "key", ["p_name"], "known", known_unmatched=["gnir llams"])
+    out = X.crosswalk(sources, universe, "key", ["p_name"], "known", known_unmatched=["gnir llams"])
+    return out.withColumn("match_score", r6("match_score"))
 
 
-@query("fuzzy_lookup")
+@query(
+    "fuzzy_lookup",
+    f"""
+WITH RECURSIVE {_RATIOS}
+SELECT p_partkey, key, other AS match, ROUND(score, 6) AS score FROM keyed LEFT JOIN (SELECT * FROM best WHERE score >= 0.94) USING (key)
+""",
+)
 def fuzzy_lookup(spark, folder):
     universe = table(spark, folder, "part").select(normalize_text(F.col("p_name")).alias("key")).distinct()
     asked = _misspelled(spark, folder)
@@ -285,6 +329,24 @@ def fuzzy_lookup(spark, folder):
     return asked.join(found, "key", "left").select("p_partkey", "key", F.col("other").alias("match"), r6("score").alias("score"))
 
 
+def _sentence_names(spark, folder):
+    """The first two words of every sentence, as names."""
+    said = table(spark, folder, "documents").select(F.explode(F.split("text", "[.\\n]+")).alias("s"))
+    words = said.select(F.regexp_extract_all(F.lower("s"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 3)
+    return words.select(F.concat_ws(" ", F.slice("w", 1, 2)).alias("key")).distinct()
+
+
+@query("fuzzy_names")
+def fuzzy_names(spark, folder):
+    """Names with one letter missing, looked up among all names of the documents (160,000 at the largest scale)."""
+    universe = _sentence_names(spark, folder)
+    at = (F.pmod(F.crc32("key"), F.length("key")) + 1).cast("int")
+    cut = F.concat(F.substring("key", F.lit(1), at - 1), F.substring("key", at + 1, F.length("key")))
+    asked = universe.select(F.col("key").alias("name"), cut.alias("key"))
+    found = X.best_matches(asked, universe, "key", floor=0.94, below=False)
+    return asked.join(found, "key", "left").select("name", "key", F.col("other").alias("match"), r6("score").alias("score"))
+
+
 @query(
     "unmatched_report",
     """
