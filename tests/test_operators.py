@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tipoff.operators import aggregates as A
@@ -12,6 +13,7 @@ from tipoff.operators import joins as J
 from tipoff.operators import matching as X
 from tipoff.operators import metrics as M
 from tipoff.operators import ranking as R
+from tipoff.operators import boosting as BO
 from tipoff.operators.boosting import fit_boosted_trees
 from tipoff.operators.linear import fit_ridge
 from tipoff.operators.logistic import fit_logistic
@@ -245,6 +247,37 @@ def test_boosted_trees_match_numpy(spark):
     assert max(abs(got[i] - pred[i]) for i in range(120)) < 1e-9
 
 
+@pytest.mark.parametrize("bucket", [1_000_000, 25])
+def test_models_grown_together_equal_single_ones(spark, bucket, monkeypatch):
+    """Other columns, targets, depths and training seasons side by side; values in one bucket and in several."""
+    monkeypatch.setattr(BO, "_BUCKET", bucket)
+    monkeypatch.setattr(BO, "_CHUNK", 70)
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 4, 200), rng.normal(size=200), rng.integers(0, 30, 200)]).astype(float)
+    gaps = rng.random((200, 3)) < 0.1
+    y = np.column_stack([x[:, 1] + (x[:, 0] > 1), x[:, 2] * x[:, 0] / 20]) + rng.normal(size=(200, 2)) / 5
+    season = rng.integers(2000, 2004, 200)
+    rows = [(int(s), *[None if g else float(v) for v, g in zip(r, m)], *map(float, t)) for s, r, m, t in zip(season, x, gaps, y)]
+    df = spark.createDataFrame(rows, "season int, a double, b double, c double, y0 double, y1 double").repartition(3)
+    names, fill = ["a", "b", "c"], {"a": 1.0, "b": 0.25, "c": 12.0}
+    jobs = [
+        BO.BoostedJob(["a", "b", "c"], fill, 0, None, 3, 0.3, 2, 10, 6),
+        BO.BoostedJob(["c", "b"], fill, 1, 2003, 2, 0.5, 3, 8, 4),
+        BO.BoostedJob(["b"], fill, 1, 2001, 4, 0.1, 1, 5, 6),
+        BO.BoostedJob([], fill, 0, None, 2, 0.1, 2, 5, 6),
+    ]
+    for job, model in zip(jobs, BO.fit_boosted_models(df, jobs, [F.col("y0"), F.col("y1")], F.col("season"))):
+        at = [names.index(c) for c in job.columns]
+        filled = np.where(gaps, [fill[c] for c in names], x)[:, at]
+        seen = season < (job.before or 9999)
+        pred, target = np.full(200, y[seen, job.target].mean()), y[:, job.target]
+        for _ in range(job.estimators if at else 0):
+            tree = _numpy_tree(filled, target - pred, np.flatnonzero(seen), job.max_depth, job.min_leaf, job.bins)
+            pred = pred + job.rate * np.array([_numpy_out(tree, v) for v in filled])
+        got = [r["z"] for r in spark.createDataFrame(rows, df.schema).select(model.predict().alias("z")).collect()]
+        assert np.abs(np.array(got) - pred).max() < 1e-9
+
+
 def test_logistic_solvers_agree(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(150, 2))
