@@ -166,11 +166,47 @@ def boosted_stump(spark, folder):
     )
 
 
-@query("boosted_trees")
+def _trees_sql(estimators: int = 28) -> str:
+    """Boosting written out tree by tree: best cut of the root, best cut of each child, leaf means."""
+
+    def cuts(source: str, node: str) -> str:
+        return f"""
+  SELECT * FROM (
+    SELECT *, CASE WHEN u <= 7 THEN (v + following) / 2 ELSE v END AS thr,
+      round(ls * ls / ln + (ts - ls) * (ts - ls) / nullif(tn - ln, 0) - ts * ts / tn, 12) AS g FROM (
+      SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY {node}, f) AS u, lead(v) OVER w AS following,
+        sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER (PARTITION BY {node}, f) AS tn, sum(s) OVER (PARTITION BY {node}, f) AS ts
+      FROM (SELECT {node}, f, v, count(*) AS n, sum(res) AS s FROM (
+          SELECT {node}, res, unnest([0, 1, 2, 3, 4]) AS f, unnest([f0, f1, f2, f3, f4]) AS v FROM {source}) GROUP BY ALL)
+      WINDOW w AS (PARTITION BY {node}, f ORDER BY v))
+    WHERE ln >= 35 AND tn - ln >= 35 AND CASE WHEN u <= 7 THEN p < u - 1 ELSE p IN (
+      (u - 1) // 7, 2 * (u - 1) // 7, 3 * (u - 1) // 7, 4 * (u - 1) // 7, 5 * (u - 1) // 7, 6 * (u - 1) // 7) END)
+  WHERE g > 0 QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY g DESC, f, thr) = 1"""
+
+    parts = []
+    for t in range(estimators):
+        parts.append(f"""
+r{t} AS MATERIALIZED (SELECT * EXCLUDE (pred), pred, y - pred AS res, 0 AS k FROM p{t}),
+a{t} AS MATERIALIZED ({cuts(f"r{t}", "k")}),
+c{t} AS MATERIALIZED (SELECT r.* EXCLUDE (k), CASE WHEN [f0, f1, f2, f3, f4][f + 1] <= thr THEN 0 ELSE 1 END AS k FROM r{t} r, a{t}),
+b{t} AS MATERIALIZED ({cuts(f"c{t}", "k")}),
+p{t + 1} AS MATERIALIZED (
+  SELECT key, f0, f1, f2, f3, f4, y, pred + 0.05 * CASE WHEN f IS NULL THEN own
+    WHEN [f0, f1, f2, f3, f4][f + 1] <= thr THEN ls / ln ELSE (ts - ls) / (tn - ln) END AS pred
+  FROM (SELECT *, avg(res) OVER (PARTITION BY k) AS own FROM c{t}) c LEFT JOIN b{t} b USING (k))""")
+    return f"""
+WITH p0 AS MATERIALIZED (
+  SELECT {{'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey, 's': l_suppkey}} AS key, l_quantity AS f0, l_discount AS f1, l_tax AS f2,
+    CAST(l_linenumber AS DOUBLE) AS f3, CAST(l_partkey AS DOUBLE) AS f4, l_extendedprice AS y, avg(l_extendedprice) OVER () AS pred FROM lineitem),
+{",".join(parts)}
+SELECT key.o AS l_orderkey, key.l AS l_linenumber, key.p AS l_partkey, key.s AS l_suppkey, round(pred, 2) AS predicted FROM p{estimators}"""
+
+
+@query("boosted_trees", _trees_sql())
 def boosted_trees(spark, folder):
     lines = table(spark, folder, "lineitem")
     columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey"]
-    model = fit_boosted_trees(lines, columns, F.col("l_extendedprice"), estimators=4)
+    model = fit_boosted_trees(lines, columns, F.col("l_extendedprice"))
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(model.predict(), 2).alias("predicted"))
 
 
