@@ -1,5 +1,9 @@
 """Named queries against their SQL on the smallest scale, and the schedule planner."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +53,11 @@ def test_planner(spark):
     ordered = N.search_board(opponents, "o", ["team"], {"team": []}, "projected_net_rank", "team").collect()
     assert [r["team"] for r in ordered] == ["Bo"]
     assert opponents.where(F.col("team") == "Bo").count() == 1
+
+
+def test_entry_without_the_optional_part():
+    """A library that only the training-data operators need is missing: all other queries stay."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(said[0]) > 100 and said[1] == "False"

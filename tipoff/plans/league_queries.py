@@ -6,13 +6,12 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from tipoff.operators.rolling import ModelConfig
 from tipoff.plans import features as P
 from tipoff.plans import model_table as T
 from tipoff.plans import planner as N
 from tipoff.plans import predict as C
 from tipoff.plans import risk as K
-from tipoff.plans.backtest import ROSTER, SCHEDULE, run_backtest
+from tipoff.plans.backtest import run_backtest
 from tipoff.plans.league import League
 from tipoff.plans.registry import SUPPLIER_YEARS, query, r6
 from tipoff.session import pinned
@@ -182,16 +181,10 @@ def modeling_table(spark, folder):
     return _rounded(_model_table(spark, folder))
 
 
-_RIDGES = (
-    ModelConfig("direct_ridge_roster_talent", ROSTER, "direct", alpha=100.0),
-    ModelConfig("direct_ridge_schedule_building", SCHEDULE, "direct", alpha=100.0),
-)
-
-
 @lru_cache(maxsize=4)
 def _backtest(spark, folder):
-    blends = {"blend": ("direct_ridge_roster_talent", "direct_ridge_schedule_building")}
-    return run_backtest(_model_table(spark, folder), _RIDGES, blends, max_features=20, first_test_season=2000)
+    """All models and blends over every season that has earlier ones."""
+    return run_backtest(_model_table(spark, folder), first_test_season=None)
 
 
 @query("backtest_metrics")
@@ -216,7 +209,7 @@ def _current(spark, folder):
         t["moves"], t["recruits"], t["programs"],
     )
     rolling = pinned(_backtest(spark, folder)["predictions"])
-    return last, pinned(C.predict_current(pinned(rows), _model_table(spark, folder), rolling, _RIDGES, max_features=20))
+    return last, pinned(C.predict_current(pinned(rows), _model_table(spark, folder), rolling))
 
 
 @query("current_predictions")
