@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, and on null, empty, repeated and odd rows."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -330,7 +331,6 @@ def test_packing(spark, sf, documents, odd, nothing):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
     rows = QUERIES["op10_packing"](spark, sf).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -355,6 +355,24 @@ def test_packing(spark, sf, documents, odd, nothing):
     assert PK.pack(nothing, path).count() == 0
 
 
+def test_packed_ids_of_special_and_plain_strings(spark):
+    """The ids of both libraries agree, and the string of a special token is that token, also in a text of plain letters."""
+    from tokenizers import Tokenizer
+
+    path, ranks = str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    letters = "aAbeéñſ z019 \n.,-'<|>_" + "".join(map(chr, range(0xA1, 0x250, 7)))
+    cases = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "漢 <|endoftext|>"]
+    cases += ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(3000)]
+    encode = PK.encoder(path, ranks, special=True).ids
+    for text in cases:
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
+    packed = PK.pack(spark.createDataFrame([(1, cases[0])], "doc_id long, text string"), path, ranks_path=ranks).first()
+    assert np.frombuffer(packed["ids"], "<u4").tolist() == [64, 220, 50256, 275, 0]
+    assert PK.encoder(path, ranks).ids(cases[0]) == [64, 1279, 91, 437, 1659, 5239, 91, 29, 275]
+
+
 def test_differencing():
     groups = PK.difference([8, 7, 6, 5, 4], 2)
     assert sorted(i for g in groups for i in g) == list(range(5)) and {sum([8, 7, 6, 5, 4][i] for i in g) for g in groups} == {14, 16}

@@ -17,13 +17,16 @@ from tipoff.llm.common import named, slices, texts
 # Texts of these characters alone get the same ids from both tokenizer libraries.
 _PLAIN = re.compile("[\n -~¡-ɏ]*")
 
-_encoders: dict[tuple[str, str | None], object] = {}
+_encoders: dict[tuple[str, str | None, bool], object] = {}
 
 
 class Encoder:
-    """Token ids of texts. With `ranks_path`, the same vocabulary as ranks, texts of plain letters take a faster path."""
+    """Token ids of texts. With `ranks_path`, the same vocabulary as ranks, texts of plain letters take a faster path.
 
-    def __init__(self, path: str, ranks_path: str | None):
+    The string of a special token inside a text is plain text, or with `special` that token.
+    """
+
+    def __init__(self, path: str, ranks_path: str | None, special: bool):
         import base64
 
         import public_tokenizers
@@ -31,7 +34,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not special
+        self.whole = [t.content for t in self.slow.get_added_tokens_decoder().values()] if special else []
         self.fast = None
         if ranks_path:
             with open(ranks_path, "rb") as lines:
@@ -39,19 +43,19 @@ class Encoder:
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast and _PLAIN.fullmatch(text):
+        if self.fast and _PLAIN.fullmatch(text) and not any(w in text for w in self.whole):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
-def encoder(path: str, ranks_path: str | None) -> Encoder:
+def encoder(path: str, ranks_path: str | None, special: bool = False) -> Encoder:
     """One encoder for each worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = (path, ranks_path)
+    key = (path, ranks_path, special)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, ranks_path)
+        _encoders[key] = Encoder(path, ranks_path, special)
     return _encoders[key]
 
 
@@ -135,14 +139,14 @@ def pack(
     Returns the id column, `start`, `length`, `ids` (little-endian unsigned 32-bit), `doc_tokens`,
     `sequence_id` (unique, with the task's number in its upper bits) and `offset` in the sequence.
 
-    A null or empty text is one piece with `end_id`. Rows that repeat or have a null id are packed each on
+    A null or empty text is one piece with `end_id`. The string of a special token in a text is that token. Rows that repeat or have a null id are packed each on
     their own. An empty table gives no rows. Other input columns are not returned.
     """
     kept = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     schema = T.StructType([kept.schema["doc_id"], *FIELDS.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, ranks_path).ids
+        encode = encoder(tokenizer_path, ranks_path, special=True).ids
         sequence, rows, waiting = TaskContext.get().partitionId() << 33, [], []
         kind = None
 
