@@ -19,6 +19,7 @@ from tipoff.operators.linear import fit_ridge
 from tipoff.operators.logistic import fit_logistic
 from tipoff.operators.peers import peer_statistics
 from tipoff.operators.slots import slot_filling
+from tipoff.session import pinned
 
 HISTORY = [("a", 2001, "x", 1.0), ("a", 2001, "y", 3.0), ("a", 2002, "x", None), ("a", 2005, "y", 7.0), ("b", 2003, "x", 5.0)]
 
@@ -108,8 +109,23 @@ def test_greedy_dedupe_matches_sequential_pass(spark):
         names.add(name)
         if key is not None:
             ids.add(key)
-    got = J.first_rows_greedy(spark.createDataFrame(rows, "i int, id string, name string"), [["id"], ["name"]], "i")
-    assert sorted(r["i"] for r in got.collect()) == want
+    df = spark.createDataFrame(rows, "i int, id string, name string")
+    for block in (1_000_000, 20):
+        got = J.first_rows_greedy(df, [["id"], ["name"]], "i", block)
+        assert sorted(r["i"] for r in got.collect()) == want
+
+
+def test_greedy_dedupe_of_a_long_chain(spark, monkeypatch):
+    """A chain, in which each row shares a key with the next, needs few rounds; rows without any key all stay."""
+    pins = []
+    monkeypatch.setattr(J, "pinned", lambda df: pins.append(1) or pinned(df))
+    n = 3000
+    chain = spark.range(n).selectExpr("id as i", "cast(id div 2 as string) as id", "concat('n', (id + 1) div 2) as name")
+    bare = spark.createDataFrame([(n, None, ""), (n + 1, "", None), (n + 2, None, None)], "i long, id string, name string")
+    got = J.first_rows_greedy(chain.union(bare), [["id"], ["name"]], "i").select("i").collect()
+    assert sorted(r["i"] for r in got) == [*range(0, n, 2), n, n + 1, n + 2]
+    assert len(pins) <= 5
+    assert J.first_rows_greedy(chain.limit(0), [["id"], ["name"]], "i").count() == 0
 
 
 def test_best_match_equals_full_search(spark):

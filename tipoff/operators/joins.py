@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tipoff.operators.ranking import latest_per_key
+from tipoff.operators.graph import components
+from tipoff.operators.ranking import latest_per_key, top_rows
 from tipoff.session import pinned
 
 
@@ -133,29 +136,74 @@ def _filled(keys: Sequence[str]) -> Column:
     return reduce(and_, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys])
 
 
-def first_rows_greedy(df: DataFrame, key_sets: Sequence[Sequence[str]], order: str) -> DataFrame:
+def _decide_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of the rows a sequential pass keeps; rows come sorted by component, then order."""
+    root, taken = None, set()
+    for pdf in batches:
+        kept = []
+        for place, mine, keys in zip(pdf["_place"], pdf["_root"], pdf["_keys"]):
+            if mine != root:
+                root, taken = mine, set()
+            if taken.isdisjoint(keys):
+                taken.update(keys)
+                kept.append(place)
+        yield pd.DataFrame({"_place": pd.Series(kept, dtype=pdf["_place"].dtype)})
+
+
+def _free(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows that share no key with a kept one and are not kept themselves."""
+    gone = rows.select("_place", F.explode("_keys").alias("_key")).join(
+        kept.select(F.explode("_keys").alias("_key")).distinct(), "_key", "left_semi"
+    )
+    return rows.join(gone.select("_place").union(kept.select("_place")).distinct(), "_place", "left_anti")
+
+
+def first_rows_greedy(
+    df: DataFrame, key_sets: Sequence[Sequence[str]], order: str, block: int = 1_000_000
+) -> DataFrame:
     """Keep a row, going down by the unique `order`, unless it shares a key with a row already kept.
 
-    A row that comes first under all its keys is kept, every row that shares a key with a kept row
-    goes, and the rest is decided again: the same rows a sequential pass keeps, in few rounds.
+    Only rows connected by shared keys depend on each other. Rows that come first under all their keys are
+    kept at once. The others fall into connected components, found in about log n rounds of joins, and tasks
+    go through the components in order. A component of more than `block` rows is decided by its first `block`
+    rows at a time: no later row bears on them. So no task holds more than `block` rows of a component, and
+    the steps are at most the rows of the largest component over `block`, rounded up, however long its chains are.
+    Key sets with a null or blank part join nothing.
     """
-    undecided = pinned(df)
-    kept = None
+    source = pinned(df)
+    keys = [F.when(_filled(k), F.to_json(F.struct(F.lit(i).alias("_set"), *k))) for i, k in enumerate(key_sets)]
+    open_rows = source.select(F.col(order).alias("_place"), F.array_compact(F.array(*keys)).alias("_keys"))
+    kept = open_rows.where(F.size("_keys") == 0).select("_place")
+    open_rows = open_rows.where(F.size("_keys") > 0)
     while True:
-        firsts = undecided
-        tests = []
-        for i, keys in enumerate(key_sets):
-            lead = (
-                undecided.where(_filled(keys)).groupBy(*keys).agg(F.min(order).alias(f"_lead{i}"))
-            )
-            firsts = firsts.join(lead, list(keys), "left")
-            tests.append(F.coalesce(F.col(f"_lead{i}") == F.col(order), ~_filled(keys)))
-        accepted = pinned(firsts.where(reduce(and_, tests)).select(*df.columns))
-        kept = accepted if kept is None else kept.unionByName(accepted)
-        rest = missing_rows(accepted, undecided, [[order], *key_sets])
-        undecided = pinned(rest)
-        if undecided.isEmpty():
-            return kept
+        uses = open_rows.select("_place", "_keys", F.explode("_keys").alias("_key"))
+        leads = uses.groupBy("_key").agg(F.min("_place").alias("_lead"))
+        first = uses.join(leads, "_key").groupBy("_place").agg(
+            F.min(F.col("_lead") == F.col("_place")).alias("_first"), F.collect_list("_key").alias("_keys")
+        )
+        first = pinned(first.where("_first").select("_place", "_keys"))
+        kept = kept.union(first.select("_place"))
+        open_rows = pinned(_free(open_rows, first))
+        uses = open_rows.select("_place", F.explode("_keys").alias("_key"))
+        leads = uses.groupBy("_key").agg(F.min("_place").alias("_lead"))
+        roots = components(uses.join(leads, "_key").select(F.col("_lead").alias("a"), F.col("_place").alias("b")))
+        roots = roots.select(F.col("node").alias("_place"), F.col("root").alias("_root"))
+        placed = open_rows.join(roots, "_place", "left").withColumn("_root", F.coalesce("_root", "_place"))
+        placed = pinned(placed)
+        head = top_rows(placed, ["_root"], [F.col("_place")], block).drop("_rank")
+        sorted_head = head.repartition("_root").sortWithinPartitions("_root", "_place")
+        schema = StructType([placed.schema["_place"]])
+        accepted = pinned(sorted_head.mapInPandas(_decide_in_order, schema))
+        kept = kept.union(accepted)
+        large = placed.groupBy("_root").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+        rest = placed.join(large, "_root", "left_semi").drop("_root")
+        if rest.isEmpty():
+            break
+        last = head.groupBy("_root").agg(F.max("_place").alias("_last"))
+        rest = placed.join(large, "_root", "left_semi").join(last, "_root").where("_place > _last")
+        chosen = placed.join(accepted, "_place", "left_semi").select("_place", "_keys")
+        open_rows = pinned(_free(rest.select("_place", "_keys"), chosen))
+    return source.join(kept.withColumnRenamed("_place", order), order, "left_semi").select(*df.columns)
 
 
 def supplement(

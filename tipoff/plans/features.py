@@ -643,8 +643,8 @@ def supplement_players(players: DataFrame, roster: DataFrame, season: int | None
         "height",
         player_key(F.col("fullName")).alias("player_key"),
         team_key(F.col("teamMarket")).alias("source_team_key"),
-    ).withColumn("_row", F.concat_ws("|", F.coalesce("player_id", F.lit("~")), "player_key", "source_team_key", "player_name", "position"))
-    extra = R.latest_per_key(extra, ["_row"], ["competition_id", "team_id"])
+    ).withColumn("_entry", F.concat_ws("|", F.coalesce("player_id", F.lit("~")), "player_key", "source_team_key", "player_name", "position"))
+    extra = R.latest_per_key(extra, ["_entry"], ["competition_id", "team_id"])
     zero = [c for c in (*fixed.ROSTER_COUNTING_STATS,) if c in players.columns]
     fill = {
         **{c: F.lit(0.0) for c in zero},
@@ -653,7 +653,7 @@ def supplement_players(players: DataFrame, roster: DataFrame, season: int | None
     }
     if "source_row_type" not in base.columns:
         base = base.withColumn("source_row_type", F.lit(None).cast("string"))
-    out = J.supplement(base, extra, [["player_id"], ["player_key", "source_team_key"]], "_row", fill)
+    out = J.supplement(base, extra, [["player_id"], ["player_key", "source_team_key"]], "_entry", fill)
     return out.drop("player_key", "source_team_key")
 
 

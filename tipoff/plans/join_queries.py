@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tipoff.functions.text import normalize_text
 from tipoff.operators import joins as J
 from tipoff.operators import matching as X
+from tipoff.plans import features as PF
 from tipoff.plans.registry import (
     CUSTOMER_YEARS,
     SUPPLIER_YEARS,
@@ -154,6 +155,61 @@ def supplemented_players(spark, folder):
     return out.select("id", "minutes", "added")
 
 
+_LETTERS = "translate(lpad(CAST({} AS VARCHAR), 9, '0'), '0123456789', 'abcdefghij')"
+
+
+@query(
+    "supplement_players",
+    f"""
+WITH seen AS (SELECT o_custkey AS j, MAX(o_orderpriority = '1-URGENT') AS by_id, MAX(o_orderpriority = '2-HIGH') AS by_name
+  FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1),
+entries AS (SELECT c_custkey AS i, c_custkey // 2 AS id, (c_custkey + 1) // 2 AS person FROM customer),
+fresh AS (SELECT * FROM entries WHERE id NOT IN (SELECT j FROM seen WHERE by_id) AND person NOT IN (SELECT j FROM seen WHERE by_name)),
+chains AS (SELECT *, i - ROW_NUMBER() OVER (ORDER BY i) AS chain FROM fresh),
+kept AS (SELECT * FROM chains QUALIFY ROW_NUMBER() OVER (PARTITION BY chain ORDER BY i) % 2 = 1)
+SELECT CASE WHEN by_id THEN lpad(CAST(j AS VARCHAR), 9, '0') END AS player_id,
+  CASE WHEN by_name THEN 'Person ' || {_LETTERS.format("j")} ELSE 'Nobody ' || {_LETTERS.format("j")} END AS player_name,
+  'Market ' || chr(CAST(97 + j % 25 AS INTEGER)) AS team_market, 12.5 AS minutes, NULL AS source_row_type, NULL AS season FROM seen
+UNION ALL SELECT lpad(CAST(id AS VARCHAR), 9, '0'), 'Person ' || {_LETTERS.format("person")},
+  'Market ' || chr(CAST(97 + person % 25 AS INTEGER)), 0.0, 'competition_team_players_placeholder', 2024 FROM kept
+""",
+)
+def supplement_players(spark, folder):
+    """Entries 2m and 2m + 1 share an id, 2m + 1 and 2m + 2 a name: long chains, cut where the statistics know one."""
+
+    def code(c):
+        return F.lpad(c.cast("string"), 9, "0")
+
+    def label(word, c):
+        return F.concat(F.lit(word + " "), F.translate(code(c), "0123456789", "abcdefghij"))
+
+    def market(c):
+        return F.concat(F.lit("Market "), F.expr("char(97 + {} % 25)".format(c)))
+
+    priority = F.col("o_orderpriority")
+    seen = table(spark, folder, "orders").where((F.col("o_orderstatus") == "P") & priority.isin("1-URGENT", "2-HIGH"))
+    seen = seen.groupBy(F.col("o_custkey").alias("j")).agg(
+        F.max(priority == "1-URGENT").alias("by_id"), F.max(priority == "2-HIGH").alias("by_name")
+    )
+    players = seen.select(
+        F.when(F.col("by_id"), code(F.col("j"))).alias("player_id"),
+        F.when(F.col("by_name"), label("Person", F.col("j"))).otherwise(label("Nobody", F.col("j"))).alias("player_name"),
+        market("j").alias("team_market"),
+        F.lit(None).cast("string").alias("team_name"),
+        F.lit(12.5).alias("minutes"),
+        F.lit(None).cast("int").alias("season"),
+    )
+    entries = table(spark, folder, "customer").selectExpr("c_custkey div 2 as id", "(c_custkey + 1) div 2 as person", "c_mktsegment")
+    none = F.lit(None).cast("string")
+    roster = entries.select(
+        F.lit("1").alias("competitionId"), F.lit("1").alias("teamId"), market("person").alias("teamMarket"), none.alias("teamName"),
+        none.alias("conferenceId"), code(F.col("id")).alias("playerId"), label("Person", F.col("person")).alias("fullName"),
+        none.alias("classYr"), F.col("c_mktsegment").alias("position"), none.alias("height"),
+    )
+    out = PF.supplement_players(players, roster, 2024)
+    return out.select("player_id", "player_name", "team_market", "minutes", "source_row_type", "season")
+
+
 @query(
     "complete_components",
     """
