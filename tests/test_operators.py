@@ -316,17 +316,52 @@ def test_logistic_solvers_agree(spark):
     assert max(abs(np.array(steps.weights) - w)) < 1e-9 and abs(steps.intercept - b) < 1e-9
 
 
-def test_slot_filling_chunks_do_not_matter(spark):
+SLOT_KNOWN = (
+    "team string, known_pg double, known_backcourt double, known_big double, known_frontcourt double, "
+    "returner_share double, transfer_share double"
+)
+
+
+def fill_in_order(rows, known):
+    """Shares, weighted shares and needs of one team by a plain pass over (base, history, position, name, id)."""
+    state = {"back": [known[0], known[1]], "front": [known[2], known[3]]}
+    total = weighted = top = 0.0
+    for base, history, position, *_ in sorted(rows, key=lambda r: (-r[0], r[3], r[4], r[1])):
+        s, c = state["back" if position in ("pg", "guard") else "front"]
+        need = max(min((5 - c) / 5, 1), 0)
+        special = position in ("pg", "big")
+        if special:
+            need = (max(min((2 - s) / 2, 1), 0) + need) / 2
+        share = min(max((history or 0.06) * (0.65 + 0.85 * need), 0), 0.22)
+        fill = min(share / 0.08, 1)
+        state["back" if position in ("pg", "guard") else "front"] = [s + fill * special, c + fill]
+        total, weighted, top = total + share, weighted + base * share, max(top, share)
+    return total, weighted / total, top, *[max(min((2 - state[c][0]) / 2, 1), 0) for c in ("back", "front")]
+
+
+def test_slot_filling_equals_a_plain_pass(spark):
+    """Full courts, tiny, negative and missing histories, repeated recruits and specialists that come late."""
     rng = random.Random(8)
-    rows = [("t", i, f"p{i:03d}", rng.random(), 0.03 + rng.random() / 20, rng.choice(["pg", "guard", "big", "wing"])) for i in range(60)]
-    df = spark.createDataFrame(rows, "team string, player_id int, player_name string, base double, history_share double, position string")
-    known = spark.createDataFrame(
-        [("t", 0.5, 1.0, 0.0, 0.5, 0.2, 0.1)],
-        "team string, known_pg double, known_backcourt double, known_big double, known_frontcourt double, returner_share double, transfer_share double",
+    teams = {}
+    for t, size in (("few", 4), ("many", 300), ("late", 120)):
+        rows = [
+            (rng.randint(1, 40) / 8, rng.choice([0.0, -0.1, 0.001, 0.05, 0.3, None]), rng.choice(["pg", "guard", "big", "wing"]), f"p{i:03d}", i)
+            for i in range(size)
+        ]
+        if t == "late":
+            rows = [(r[0] if r[2] in ("guard", "wing") else 0.01, *r[1:]) for r in rows]
+        teams[t] = rows + rows[: size // 3] * 2
+    known = {"few": (0.5, 1.0, 0.0, 0.5), "many": (0.0, 0.0, 0.0, 0.0), "late": (0.0, 4.5, 0.0, 4.0)}
+    df = spark.createDataFrame(
+        [(t, *r) for t, rows in teams.items() for r in rows],
+        "team string, base double, history_share double, position string, player_name string, player_id int",
     )
-    a = slot_filling(df, known, ["team"], chunk=3).first()
-    b = slot_filling(df, known, ["team"], chunk=256).first()
-    assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(a[1:], b[1:]))
+    got = slot_filling(df, spark.createDataFrame([(t, *k, 0.2, 0.1) for t, k in known.items()], SLOT_KNOWN), ["team"])
+    columns = ("projected_minutes_share_total", "need_adjusted_impact_percentile", "top_projected_minutes_share", "pg_need", "big_need")
+    got = {r["team"]: [r[c] for c in columns] for r in got.collect()}
+    assert set(got) == set(teams)
+    for t, rows in teams.items():
+        assert got[t] == pytest.approx(fill_in_order(rows, known[t]), abs=1e-9), t
 
 
 def test_weighted_means_differ_on_null(spark):
@@ -337,18 +372,6 @@ def test_weighted_means_differ_on_null(spark):
     assert (r["skip"], r["zero"]) == (1.0, 0.5)
 
 
-def test_slot_filling_keeps_repeated_recruits(spark):
-    rows = [("t", 90.0, 0.1, "pg", "same", 7)] * 6 + [("t", 80.0, 0.2, "big", "other", 8)] * 3
-    df = spark.createDataFrame(rows, "team string, base double, history_share double, position string, player_name string, player_id long")
-    known = spark.createDataFrame(
-        [("t", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)],
-        "team string, known_pg double, known_backcourt double, known_big double, known_frontcourt double, returner_share double, transfer_share double",
-    )
-    got = [slot_filling(df, known, ["team"], chunk=c).first() for c in (1, 2, 4, 256)]
-    for other in got[1:]:
-        assert all(a == b or abs(a - b) < 1e-9 for a, b in zip(got[0][1:], other[1:]) if isinstance(a, float))
-
-
 def test_latest_by_any_key_takes_the_first_team(spark):
     from tipoff.operators.matching import latest_by_any_key
 

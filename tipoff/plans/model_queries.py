@@ -266,7 +266,8 @@ def counterfactual_lift(spark, folder):
 _SLOT = """
 n AS (SELECT COUNT(*) AS k FROM supplier),
 rec AS (SELECT p_partkey % k AS team, p_partkey AS id, p_name AS name, (p_size % 37 + 1) / 64.0 AS base, (p_partkey % 7 + 2) / 128.0 AS hist,
-  ['pg', 'guard', 'wing', 'forward', 'big'][1 + p_size % 5] AS pos FROM part, n),
+  ['pg', 'guard', 'wing', 'forward', 'big'][1 + p_size % 5] AS pos
+  FROM (SELECT * FROM part UNION ALL SELECT * FROM part WHERE p_size > 25), n),
 o AS (SELECT *, CASE WHEN pos IN ('pg', 'guard') THEN 'back' ELSE 'front' END AS court, pos IN ('pg', 'big') AS special FROM rec),
 seq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team, court ORDER BY base DESC, name, id) AS i FROM o),
 known AS (SELECT s_suppkey AS team, s_suppkey % 3 / 4.0 AS ks, s_suppkey % 5 / 2.0 AS kc FROM supplier),
@@ -306,7 +307,8 @@ def slot_filling_query(spark, folder):
     suppliers = table(spark, folder, "supplier")
     k = suppliers.count()
     positions = F.array(*[F.lit(p) for p in ("pg", "guard", "wing", "forward", "big")])
-    recruits = table(spark, folder, "part").select(
+    parts = table(spark, folder, "part")
+    recruits = parts.union(parts.where("p_size > 25")).select(  # some recruits come twice
         (F.col("p_partkey") % k).alias("team"),
         F.col("p_partkey").alias("player_id"),
         F.col("p_name").alias("player_name"),
@@ -319,7 +321,7 @@ def slot_filling_query(spark, folder):
         F.col("s_suppkey").alias("team"), s.alias("known_pg"), s.alias("known_big"), c.alias("known_backcourt"),
         c.alias("known_frontcourt"), F.lit(0.1).alias("returner_share"), F.lit(0.0).alias("transfer_share"),
     )
-    out = slot_filling(recruits, known, ["team"], chunk=4)
+    out = slot_filling(recruits, known, ["team"])
     return out.select(
         "team",
         r6("projected_minutes_share_total").alias("total"),
