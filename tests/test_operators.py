@@ -15,7 +15,7 @@ from tipoff.operators import metrics as M
 from tipoff.operators import ranking as R
 from tipoff.operators import boosting as BO
 from tipoff.operators.boosting import fit_boosted_trees
-from tipoff.operators.linear import fit_ridge
+from tipoff.operators.linear import fit_ridge, fit_ridge_by_label
 from tipoff.operators.logistic import fit_logistic
 from tipoff.operators.peers import peer_statistics
 from tipoff.operators.slots import slot_filling
@@ -364,6 +364,27 @@ def test_slot_filling_equals_a_plain_pass(spark):
         assert got[t] == pytest.approx(fill_in_order(rows, known[t]), abs=1e-9), t
 
 
+def test_ridge_by_label_equals_the_dense_fit(spark):
+    """Nulls in a feature and the target, blank, missing and new labels; more labels than one expression takes."""
+    rng = np.random.default_rng(3)
+    rows = [
+        (i, None if i % 7 == 0 else float(rng.normal()), float(rng.normal()), [None, "", "a", "b", "c"][int(rng.integers(0, 5))], float(rng.normal()))
+        for i in range(90)
+    ]
+    df = spark.createDataFrame(rows, "i int, u double, v double, g string, y double")
+    dense = df.withColumn("p", fit_ridge(df, ["u", "v"], F.col("y"), 3.0, "g").predict())
+    model = fit_ridge_by_label(df, ["u", "v"], F.col("y"), 3.0, "g")
+    got = {r["i"]: r["p"] for r in model.score(df, "p").collect()}
+    assert len(got) == len(rows)
+    assert all(abs(got[r["i"]] - r["p"]) < 1e-9 for r in dense.collect())
+    new = model.score(df.where("i = 5").withColumn("g", F.lit("other")), "p").first()["p"]
+    assert new == pytest.approx(model.score(df.where("i = 5").withColumn("g", F.lit(None).cast("string")), "p").first()["p"])
+    many = spark.range(100_000).selectExpr("cast(id as string) as g", "cast(id % 13 as double) as u", "cast(id % 5 as double) as y")
+    many = many.union(many.selectExpr("g", "u", "cast(null as double)"))
+    model = fit_ridge_by_label(many, ["u"], F.col("y"), 1.0, "g")
+    assert model.effects.count() == 100_000 and model.score(many, "p").where("p is null").isEmpty()
+
+
 def test_weighted_means_differ_on_null(spark):
     df = spark.createDataFrame([(1.0, 10.0), (None, 10.0), (5.0, 0.0)], "v double, w double")
     r = df.agg(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.operators.ranking import medians
+from tipoff.session import pinned
 
 _MAX_GROUPS = 10_000
 
@@ -109,7 +110,7 @@ def group_labels(df: DataFrame, column: str) -> list[str]:
     label = F.col(column).cast("string")
     found = df.select(label.alias("g")).where(F.col("g") != "").distinct().limit(_MAX_GROUPS + 1).collect()
     if len(found) > _MAX_GROUPS:
-        raise ValueError(f"{column} has too many labels for one-hot terms")
+        raise ValueError(f"{column} has too many labels for one-hot terms in one expression; use fit_ridge_by_label")
     return sorted(r["g"] for r in found)
 
 
@@ -253,6 +254,64 @@ def fit_ridge(
     return RidgeModel(spec, solve(gram + penalty, moment))
 
 
+@dataclass(frozen=True)
+class LabelRidge:
+    """Ridge whose label terms are a table (`_label`, `_effect`), so labels may be as many as rows."""
+
+    features: RidgeModel
+    effects: DataFrame
+    label_column: str
+
+    def score(self, df: DataFrame, out: str) -> DataFrame:
+        """`df` with the prediction. Rows with a null, blank or unknown label get no label term.
+
+        Rows without a label meet nothing; they are spread so that they are not one partition of the join.
+        """
+        label = _label(self.label_column)
+        spread = F.pmod(F.xxhash64(*df.columns), F.lit(1024)) + 1
+        keyed = df.withColumns({"_label": label, "_spread": F.when(label.isNull(), spread).otherwise(F.lit(0).cast("long"))})
+        known = self.effects.withColumn("_spread", F.lit(0).cast("long"))
+        joined = keyed.join(known, ["_label", "_spread"], "left")
+        return joined.withColumn(out, self.features.predict() + F.coalesce("_effect", F.lit(0.0))).drop("_label", "_spread", "_effect")
+
+
+def _label(column: str) -> Column:
+    return F.nullif(F.col(column).cast("string"), F.lit(""))
+
+
+def fit_ridge_by_label(
+    df: DataFrame, columns: Sequence[str], target: Column, alpha: float, label_column: str, known: Profile | None = None
+) -> LabelRidge:
+    """The same fit as `fit_ridge` with one-hot labels, for any number of labels.
+
+    The block of the labels in the normal equations is diagonal, so it is eliminated: each label has its number
+    of rows and its sums of the design and the target, summed before the shuffle, and what it takes from the small system of the
+    features is a sum over the labels (the Schur complement). Once the small system is solved, the term of a
+    label follows from its own sums. The driver holds only that system, whose size the labels do not change.
+    Rows whose target is null or not finite are left out.
+    """
+    spec = fit_spec(df, columns, known=known)
+    design = [F.lit(1.0)]
+    for c in spec.columns:
+        design += [spec.scaled(c), finite(c).isNull().cast("double")]
+    width = len(design)
+    rows = df.select(_label(label_column).alias("_label"), finite(target).alias("y"), *[d.alias(f"x{i}") for i, d in enumerate(design)])
+    rows = rows.where("y is not null")
+    terms = [F.col(f"x{i}") for i in range(width)]
+    gram, moment = cross_products(rows, terms, F.col("y"))
+    sums = [F.sum(t).alias(f"x{i}") for i, t in enumerate(terms)]
+    labels = rows.where("_label is not null").groupBy("_label").agg(F.count("*").alias("n"), F.sum("y").alias("y"), *sums)
+    labels = pinned(labels)
+    root = F.sqrt(F.col("n") + alpha)
+    taken, taken_moment = cross_products(labels, [t / root for t in terms], F.col("y") / root)
+    penalty = np.eye(width) * alpha
+    penalty[0, 0] = 0.0
+    weights = solve(gram + penalty - taken, moment - taken_moment)
+    explained = balanced([t * float(w) for t, w in zip(terms, weights)])
+    effects = labels.select("_label", ((F.col("y") - explained) / (F.col("n") + alpha)).alias("_effect"))
+    return LabelRidge(RidgeModel(spec, weights), effects, label_column)
+
+
 def fit_least_squares(df: DataFrame, terms: Sequence[Column], target: Column) -> list[float]:
     """Coefficients of intercept and terms."""
     gram, moment = cross_products(df, [F.lit(1.0), *terms], target)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tipoff.operators import ranking as R
 from tipoff.operators import rolling as RO
 from tipoff.operators.boosting import fit_boosted_trees
-from tipoff.operators.linear import correlation_scores, fit_ridge, profile
+from tipoff.operators.linear import correlation_scores, fit_ridge, fit_ridge_by_label, profile
 from tipoff.operators.logistic import fit_logistic
 from tipoff.operators.slots import bench, slot_filling, starters
 from tipoff.plans.registry import SUPPLIER_YEARS, query, r6, supplier_years, table
@@ -39,6 +39,32 @@ def ridge_many_features(spark, folder):
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(model.predict(), 4).alias("predicted"))
 
 
+@query(
+    "ridge_many_labels",
+    """
+WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, CASE WHEN l_returnflag <> 'N' THEN l_partkey END AS g,
+  FLOOR(l_extendedprice) / 1024.0 AS y FROM lineitem),
+m AS (SELECT AVG(q) AS mean, STDDEV_POP(q) AS sd FROM x),
+z AS (SELECT l_orderkey, l_linenumber, g, (q - mean) / sd AS z, y FROM x, m),
+g AS (SELECT g, COUNT(*) AS n, SUM(z) AS sz, SUM(y) AS sy, COUNT(*) + 25.0 AS d FROM z WHERE g IS NOT NULL GROUP BY 1),
+t AS (SELECT COUNT(*) AS n, SUM(z) AS sz, SUM(z * z) + 25.0 AS zz, SUM(y) AS sy, SUM(z * y) AS zy FROM z),
+u AS (SELECT SUM(n * n / d) AS n, SUM(n * sz / d) AS sz, SUM(sz * sz / d) AS zz, SUM(n * sy / d) AS sy, SUM(sz * sy / d) AS zy FROM g),
+s AS (SELECT t.n - u.n AS a, t.sz - u.sz AS b, t.zz - u.zz AS c, t.sy - u.sy AS e, t.zy - u.zy AS f FROM t, u),
+w AS (SELECT (e * c - b * f) / (a * c - b * b) AS w0, (a * f - b * e) / (a * c - b * b) AS w1 FROM s)
+SELECT l_orderkey, l_linenumber, ROUND(w0 + w1 * z + COALESCE((sy - n * w0 - sz * w1) / d, 0), 4) AS predicted
+FROM z LEFT JOIN g USING (g), w
+""",
+)
+def ridge_many_labels(spark, folder):
+    """A term for each part; half of the rows have no label."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", (F.floor("l_extendedprice") / 1024.0).alias("y"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_partkey")).alias("part"),
+    )
+    model = fit_ridge_by_label(lines, ["l_quantity"], F.col("y"), 25.0, "part")
+    return model.score(lines, "p").select("l_orderkey", "l_linenumber", F.round("p", 4).alias("predicted"))
+
+
 @query(
     "feature_correlations",
     """
