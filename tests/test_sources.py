@@ -1,6 +1,7 @@
 """Files, payloads and pages."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,38 @@ def test_season_folders_and_lists(spark, tmp_path):
         files.read_json_list(spark, str(tmp_path / "bad.json"), "a int")
 
 
+def test_lists_are_cut_at_any_place(spark, tmp_path):
+    """Splits of a few bytes: braces, quotes and escapes in strings, nested lists, scalars and entries over many splits."""
+    rng = random.Random(5)
+    bits = ["{", "}", '"', "\\", "[", "]", ",", "é漢", "a b", "\n", "\\}", '\\"', ""]
+
+    def text():
+        return "".join(rng.choices(bits, k=rng.randint(0, 9)))
+
+    def entry(i):
+        return {"id": i, "s": text(), "deep": [{"t": text(), "u": {}}, [text()]] * rng.randint(0, 3)}
+
+    want = {}
+    for name in ("a", "b", "c"):
+        rows = [rng.choice([entry(i), entry(i), text(), i, None, [entry(-1), [text()]], [[]], {}]) for i in range(60)]
+        body = json.dumps(rows, ensure_ascii=False, indent=rng.choice([None, 1]))
+        (tmp_path / f"{name}.json").write_text(" \n" + body)
+        want[name] = [(r.get("id"), r.get("s")) for r in rows if isinstance(r, dict)]
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "none.json").write_text("[]")
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for size in ("37b", "128m"):
+            spark.conf.set(keys[0], size)
+            spark.conf.set(keys[1], "1b")
+            got = files.read_json_list(spark, str(tmp_path / "*.json"), "id int, s string").collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(str(x) for rows in want.values() for x in rows)
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
 def test_newest_snapshot_and_refresh(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()

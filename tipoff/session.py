@@ -24,14 +24,13 @@ def build_session(app: str = "tipoff", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder so that every later read sees the same rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate files.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a local session without
-    that setting gets a folder of its own; a cluster session without it is an error, because files
-    on one machine do not survive the loss of that machine.
+    It is the one the cluster names in `spark.checkpoint.dir`. Only a local session without that setting gets
+    a folder of its own; a cluster session without it is an error, because files on one machine do not
+    survive the loss of that machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +39,12 @@ def pinned(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tipoff-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder so that every later read sees the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

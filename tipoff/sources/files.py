@@ -4,28 +4,103 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tipoff.functions.casts import first_non_empty, to_int
+from tipoff.session import pinned
 
 
-def _list_entries(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
-    """Object entries of one-list files as (path, entry)."""
-    texts = spark.read.option("wholetext", True).text(path).select(file_path().alias("_path"), "value")
-    entries = texts.select("_path", F.explode(F.from_json("value", "array<string>")).alias("_text"))
-    objects = entries.where(F.ltrim("_text").startswith("{"))
-    return objects.select("_path", F.from_json("_text", schema).alias("_row"))
+_PIECE = ["_path", "_start"]
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _chunks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The text between closing braces, in order (`_start` of the split, `_at`), with what it does to the nesting.
+
+    A brace is never escaped, so no escape is cut. `_odd` tells whether a chunk starts inside a string if its
+    split starts outside; `_a` is the change of depth then, `_b` the change if the split starts inside a string.
+    """
+    rows = spark.read.option("lineSep", "}").text(path).select(
+        file_path().alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = _count(bare, '"')
+
+    def change(inside: int) -> Column:
+        marks = F.regexp_replace(F.concat(F.lit('"' * inside), bare), r'"[^"]*("|$)', "")
+        closes = F.when((quotes + inside) % 2 == 0, 1).otherwise(0)
+        return _count(marks, "{") + _count(marks, "[") - _count(marks, "]") - closes
+
+    before = Window.partitionBy(*_PIECE).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_quotes": quotes, "_out": change(0), "_in": change(1)})
+    rows = rows.withColumn("_odd", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
+    even = F.col("_odd") == 0
+    return rows.withColumns({"_a": F.when(even, F.col("_out")).otherwise(F.col("_in")), "_b": F.when(even, F.col("_in")).otherwise(F.col("_out"))})
+
+
+def _list_entries(
+    spark: SparkSession, path: str | Sequence[str], schema: StructType | str, strict: bool = False
+) -> DataFrame:
+    """Object entries of one-list files as (path, entry).
+
+    Spark cuts each file into splits at closing braces, so a file of any size is read by many tasks. A split does not
+    know whether it starts inside a string or how deep; one row a split sums up what it does in either case,
+    and running totals over the splits of a file tell each its start. Entries are put together inside their
+    splits; only the ones that run over a border meet in a further shuffle.
+    """
+    chunks = _chunks(spark, path)
+    sums = chunks.groupBy(*_PIECE).agg(
+        (F.sum("_quotes") % 2).alias("_quotes"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.min_by("value", "_at").alias("_head")
+    )
+    earlier = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_inside", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)) % 2)
+    sums = sums.withColumn("_change", F.when(F.col("_inside") == 0, F.col("_a")).otherwise(F.col("_b")))
+    sums = sums.withColumn("_depth", F.coalesce(F.sum("_change").over(earlier), F.lit(0)))
+    sums = pinned(sums.select(*_PIECE, "_inside", "_depth", "_head"))
+    if strict:
+        wrong = sums.where((F.col("_start") == 0) & ~F.ltrim(F.regexp_replace("_head", r"^[\ufeff\s]+", "")).startswith("[")).first()
+        if wrong is not None:
+            raise ValueError(f"expected a JSON list in {wrong['_path']}")
+    before = Window.partitionBy(*_PIECE).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*_PIECE).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    outside = F.col("_inside") == 0
+    known = chunks.join(sums.drop("_head"), _PIECE).withColumn("_change", F.when(outside, F.col("_a")).otherwise(F.col("_b")))
+    known = known.withColumn("_deep", F.col("_depth") + F.coalesce(F.sum("_change").over(before), F.lit(0)))
+    # Outside entries: scalars, strings and lists up to the first brace that is not in a string.
+    whole = F.concat(F.when((F.col("_inside") + F.col("_odd")) % 2 == 1, '"').otherwise(""), "value")
+    lead = F.regexp_extract(whole, r'(?s)^((?:[^"{]|"(?:[^"\\]|\\.)*+")*+)\{', 1)
+    marks = F.regexp_replace(F.regexp_replace(lead, r"(?s)\\.", ""), r'"[^"]*"', "")
+    opens = whole.rlike(r'(?s)^(?:[^"{]|"(?:[^"\\]|\\.)*+")*+\{')
+    starts = opens & (F.col("_deep") + _count(marks, "[") - _count(marks, "]") == 1)
+    known = known.withColumns({"_starts": starts, "_text": F.when(starts, F.substr(whole, F.length(lead) + 1)).otherwise(F.col("value"))})
+    # Number of the entry a chunk belongs to: -1 outside, null as long as the split before it decides.
+    mark = F.when(F.col("_starts"), F.col("_at")).when(F.col("_deep") <= 1, F.lit(-1).cast("long"))
+    known = known.withColumn("_entry", F.last(mark, ignorenulls=True).over(upto))
+    text = F.when(F.coalesce("_entry", F.lit(0)) >= 0, F.struct("_at", "_text"))
+    parts = known.groupBy(*_PIECE, "_entry").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda c: F.concat(c["_text"], F.lit("}"))), "").alias("_text"),
+        (F.max_by(F.col("_deep") + F.col("_change"), "_at") <= 1).alias("_closed"),
+        F.max("_at").alias("_to"),
+    )
+    parts = pinned(parts)
+    done = parts.where("_entry >= 0 and _closed").select("_path", "_text")
+    last = parts.groupBy(*_PIECE).agg(F.max_by("_entry", "_to").alias("_last"))
+    last = last.withColumn("_owner", F.last(F.when(F.col("_last").isNotNull(), F.struct("_start", F.col("_last").alias("_entry"))), ignorenulls=True).over(earlier))
+    cut = parts.where("_entry is null or _entry >= 0 and not _closed").join(last.select(*_PIECE, "_owner"), _PIECE)
+    cut = cut.withColumn("_owner", F.when(F.col("_entry").isNull(), F.col("_owner")).otherwise(F.struct("_start", "_entry")))
+    cut = cut.where("_owner._entry >= 0").groupBy("_path", "_owner").agg(F.array_sort(F.collect_list(F.struct("_start", "_text"))).alias("_parts"))
+    entries = done.union(cut.select("_path", F.array_join("_parts._text", "")))
+    return entries.select("_path", F.from_json("_text", schema).alias("_row"))
 
 
 def read_json_list(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
-    """Rows of files that each hold one JSON list. Entries that are not objects are dropped."""
-    texts = spark.read.option("wholetext", True).text(path).select(file_path().alias("p"), "value")
-    wrong = texts.where(~F.ltrim("value").startswith("[")).first()
-    if wrong is not None:
-        raise ValueError(f"expected a JSON list in {wrong['p']}")
-    return _list_entries(spark, path, schema).select("_row.*")
+    """Rows of files that each hold one JSON list. Entries that are not objects are dropped; an empty file has none."""
+    return _list_entries(spark, path, schema, strict=True).select("_row.*")
 
 
 def read_text_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
