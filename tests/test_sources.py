@@ -64,7 +64,14 @@ def test_newest_snapshot_and_refresh(spark, tmp_path):
     newest = files.read_latest_csv(spark, str(landing / "*.csv"))
     assert [(r["school"], r["coach"]) for r in newest.collect()] == [("A", "new")]
     status = files.input_status(spark, {"changes": str(landing / "*.csv")}).first()
-    assert str(status["snapshot_date"]) == "2026-01-02" and status["files"] == 2
+    assert str(status["snapshot_date"]) == "2026-01-02" and status["files"] == 2 and status["rows"] == 1
+    (tmp_path / "x_2026-02-01.csv").write_text('a,b\n1,"two\nlines"\n2,c\n')
+    (tmp_path / "y.json").write_text('[{"a": 1}, 4, {"a": 2}, {"a": 3}]')
+    (tmp_path / "z.csv").write_text("a,b\n")
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "p"))
+    asked = {"x": "x_*.csv", "y": "y.json", "z": "z.csv", "p": "p/*.parquet"}
+    got = files.input_status(spark, {k: str(tmp_path / v) for k, v in asked.items()}).collect()
+    assert {r["source"]: r["rows"] for r in got} == {"x": 2, "y": 3, "z": 0, "p": 7}
     table, progress = str(tmp_path / "table"), str(tmp_path / "progress")
     for _ in range(2):
         ingest_snapshots(spark, str(landing), "school string, coach string", table, progress)

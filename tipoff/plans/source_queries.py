@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tipoff.functions.text import page_text as visible_text
 from tipoff.sources import files, nested, pages
 from tipoff.plans.registry import query, table
-from tipoff.session import shuffle_width
+from tipoff.session import shared_folder, shuffle_width
 
 
 @query(
@@ -173,6 +175,48 @@ def input_freshness(spark, folder):
     return files.table_freshness({name: (table(spark, folder, name), stamp) for name, stamp in stamps.items()})
 
 
+@query(
+    "file_status",
+    """
+SELECT 'events' AS source, 1 AS files, COUNT(*) AS rows FROM events
+UNION ALL SELECT 'orders', 1, COUNT(*) FROM orders UNION ALL SELECT 'lineitem', 1, COUNT(*) FROM lineitem
+""",
+)
+def file_status(spark, folder):
+    names = ("events", "orders", "lineitem")
+    return files.input_status(spark, {n: f"{folder}/{n}.parquet" for n in names}).select("source", "files", "rows")
+
+
+@query(
+    "json_list_scan",
+    """
+SELECT o_orderkey AS id, o_custkey AS buyer, ROUND(o_totalprice, 2) AS total, o_orderpriority || ' }{"[\\' || o_orderstatus AS note,
+  CAST(o_orderkey % 3 AS INTEGER) AS parts FROM orders
+""",
+)
+def json_list_scan(spark, folder):
+    """Orders land as one JSON list a year, with scalars between the entries, and are read back."""
+    orders = table(spark, folder, "orders").withColumn("season", F.year("o_orderdate"))
+    note = F.concat("o_orderpriority", F.lit(' }{"[\\'), "o_orderstatus")
+    part = F.struct(F.col("o_orderkey").alias("of"), note.alias("note"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < F.col("o_orderkey") % 3, part))
+    entry = F.struct(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("buyer"), F.col("o_totalprice").alias("total"), note.alias("note"),
+        F.array_compact(parts).alias("parts"),
+    )
+    lines = orders.select("season", F.lit(1).alias("kind"), "o_orderkey", F.concat(F.to_json(entry), F.lit(", 1,")).alias("value"))
+    ends = orders.select("season").distinct().select(
+        "season", F.inline(F.array(F.struct(F.lit(0), F.lit(0).cast("long"), F.lit("[")), F.struct(F.lit(2), F.lit(0).cast("long"), F.lit('"end}"]'))))
+    )
+    ordered = lines.union(ends.toDF(*lines.columns)).repartition("season").sortWithinPartitions("season", "kind", "o_orderkey")
+    root = f"{shared_folder(spark)}/json_lists-{uuid.uuid4().hex}"
+    ordered.select("season", "value").write.partitionBy("season").text(root)
+    rows = files.read_json_list(
+        spark, f"{root}/season=*", "id long, buyer long, total double, note string, parts array<struct<of: long, note: string>>"
+    )
+    return rows.select("id", "buyer", F.round("total", 2).alias("total"), "note", F.size("parts").alias("parts"))
+
+
 @query(
     "portal_ledger",
     """

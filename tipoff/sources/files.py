@@ -103,9 +103,9 @@ def read_json_list(spark: SparkSession, path: str | Sequence[str], schema: Struc
     return _list_entries(spark, path, schema, strict=True).select("_row.*")
 
 
-def read_text_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """CSV with header; every column is text."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_text_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """CSV with header; every column is text. Without `multi_line`, for fields that hold no line ends, files are split."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
 def file_path() -> Column:
@@ -202,16 +202,52 @@ def write_table(df: DataFrame, path: str, order: Sequence[str | Column] = (), fo
         writer.format(kind).save(f"{path}.{kind}")
 
 
+def row_counts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(`path`, `rows`) of files: CSV rows, JSON list entries that are objects, or Parquet rows.
+
+    No column of a Parquet file is read, only what its footers count. Files without rows, and other kinds of files, have 0.
+    """
+    kinds: dict[str, list[str]] = {}
+    for path in paths:
+        kinds.setdefault(path.rsplit(".", 1)[-1].lower(), []).append(path)
+    parts = [spark.createDataFrame([(p,) for p in paths], "path string").withColumn("rows", F.lit(0).cast("long"))]
+    for kind, some in kinds.items():
+        if kind == "csv":
+            held = read_text_csv(spark, some).select(file_path().alias("path"))
+        elif kind == "parquet":
+            held = spark.read.parquet(*some).select(file_path().alias("path"))
+        elif kind == "json":
+            held = _list_entries(spark, some, "_ string").select(F.col("_path").alias("path"))
+        else:
+            continue
+        parts.append(held.groupBy("path").agg(F.count("*").alias("rows")))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    # Both ways of listing name a local file differently (file:/ and file:///).
+    bare = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+    return union.groupBy(bare.alias("path")).agg(F.sum("rows").alias("rows"))
+
+
 def input_status(spark: SparkSession, patterns: Mapping[str, str]) -> DataFrame:
-    """Newest snapshot, newest change and number of files per named source."""
+    """Newest snapshot, newest change, number of files, and rows of the newest file by name, per named source."""
     parts = [list_files(spark, p).withColumn("source", F.lit(name)) for name, p in patterns.items()]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    return union.groupBy("source").agg(
-        F.max("snapshot_date").alias("snapshot_date"),
-        F.to_date(F.max("modificationTime")).alias("built_at"),
-        F.count("*").alias("files"),
+    found = pinned(
+        union.groupBy("source").agg(
+            F.max("snapshot_date").alias("snapshot_date"),
+            F.to_date(F.max("modificationTime")).alias("built_at"),
+            F.count("*").alias("files"),
+            F.regexp_replace(F.max("path"), "^([a-z0-9]+):/+", "$1:/").alias("path"),
+        )
+    )
+    newest = [r["path"] for r in found.select("path").collect()]  # one path a source
+    if not newest:
+        return found.drop("path").withColumn("rows", F.lit(0).cast("long"))
+    return found.join(row_counts(spark, newest), "path", "left").select(
+        "source", "snapshot_date", "built_at", "files", F.coalesce("rows", F.lit(0)).alias("rows")
     )
 
 
