@@ -107,3 +107,18 @@ def test_folding_equals_full_decomposition(spark):
         T.normalize_text(F.col("t")).alias("a"), T.normalize_text(F.col("t"), True).alias("b")
     ).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[0]["a"] == "ijssel" and rows[1]["a"] == "abc"
+
+
+def test_both_foldings_agree_on_marks(spark):
+    """Marks with a combining class go, those without one part words; plain and other letters in between."""
+    import random
+    import unicodedata
+
+    rng = random.Random(6)
+    marks = [chr(c) for c in range(0x250, 0x11FFF) if unicodedata.category(chr(c)).startswith("M")]
+    texts = ["a\u0941b", "a\u034fb", "e\u0301", "ﬁ½"] + ["a" + m + "b" for m in marks]
+    texts += ["".join(rng.choices([*marks[:200], *"abcé ßŁ漢ﬁ"], k=8)) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    bad = df.where(~T.normalize_text(F.col("a")).eqNullSafe(T.normalize_text(F.col("a"), full_unicode=True))).collect()
+    assert not bad
+    assert df.limit(1).select(T.normalize_text(F.col("a"))).first()[0] == "a b"

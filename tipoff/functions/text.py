@@ -28,7 +28,16 @@ def _folds() -> dict[str, str]:
     return found
 
 
+def _marks() -> str:
+    """Pattern of the marks that decompose into marks with a combining class. Marks without one stay."""
+    codes = [c for c in range(0x110000) if all(map(unicodedata.combining, unicodedata.normalize("NFKD", chr(c))))]
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]+"
+
+
 _FOLDS = _folds()
+_MARKS = _marks()
 _ONE = {k: v for k, v in _FOLDS.items() if len(v) == 1}
 _MANY = {k: v for k, v in _FOLDS.items() if len(v) > 1}
 _FOLD_FROM, _FOLD_TO = "".join(_ONE), "".join(_ONE.values())
@@ -40,7 +49,7 @@ def strip_accents(c: Column) -> Column:
 
     Characters that fold to several (ligatures, fractions) are looked up one by one, in the rows that have any.
     """
-    one = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), _FOLD_FROM, _FOLD_TO)
+    one = F.translate(F.regexp_replace(c, _MARKS, ""), _FOLD_FROM, _FOLD_TO)
     many = F.map_from_arrays(F.split(F.lit("\n".join(_MANY)), "\n"), F.split(F.lit("\n".join(_MANY.values())), "\n"))
     spelled = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
     folded = F.when(one.rlike(_MANY_CLASS), spelled).otherwise(one)
