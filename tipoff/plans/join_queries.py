@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipoff.functions.text import normalize_text
+from tipoff.functions.text import normalize_text, team_key
 from tipoff.operators import joins as J
 from tipoff.operators import matching as X
+from tipoff.operators.ranking import latest_per_key
 from tipoff.plans import features as PF
 from tipoff.plans.registry import (
     CUSTOMER_YEARS,
@@ -210,6 +211,56 @@ def supplement_players(spark, folder):
     return out.select("player_id", "player_name", "team_market", "minutes", "source_row_type", "season")
 
 
+@query(
+    "player_moves",
+    f"""
+WITH m AS (
+  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS season, o.o_custkey AS player, l.l_suppkey AS team, COUNT(*) AS n
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY 1, 2, 3),
+top AS (SELECT * FROM m QUALIFY ROW_NUMBER() OVER (PARTITION BY season, player ORDER BY n DESC, team DESC) = 1),
+{SUPPLIER_YEARS},
+t AS (SELECT a.*, b.team AS nxt, c.team AS prv, COALESCE(b.team <> a.team, FALSE) AS leaves FROM top a
+  LEFT JOIN top b ON b.player = a.player AND b.season = a.season + 1 LEFT JOIN top c ON c.player = a.player AND c.season = a.season - 1),
+v AS (SELECT season AS source_season, player, n, CASE WHEN leaves THEN nxt ELSE team END AS team, CASE WHEN leaves THEN team ELSE prv END AS source
+  FROM t WHERE leaves OR COALESCE(prv <> team, FALSE)),
+r AS (SELECT sy.season, s_suppkey, s_acctbal / 512 AS em, s_suppkey % 350 AS rnk FROM sy JOIN supplier ON s_suppkey = sy.entity),
+x AS (SELECT v.*, COALESCE(GREATEST(LEAST(1 + em / 60.0 + CASE WHEN rnk <= 25 THEN 0.10 WHEN rnk <= 50 THEN 0.06 WHEN rnk <= 100 THEN 0.03
+    WHEN rnk >= 300 THEN -0.12 WHEN rnk >= 250 THEN -0.08 WHEN rnk >= 200 THEN -0.04 ELSE 0 END, 1.45), 0.55), 1.0) AS f
+  FROM v LEFT JOIN r ON r.season = v.source_season AND r.s_suppkey = v.source)
+SELECT CAST(player AS VARCHAR) AS player_id, source_season, source_season + 1 AS season, a.s_name AS team, b.s_name AS source_team,
+  ROUND(f, 6) AS multiplier, ROUND(n * f, 6) AS points FROM x JOIN supplier a ON a.s_suppkey = x.team JOIN supplier b ON b.s_suppkey = x.source
+""",
+)
+def player_moves(spark, folder):
+    """The most frequent supplier of a customer's year is its team; who has another one next year or had one before has moved."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season")
+    )
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("team"))
+    played = lines.join(orders, "l_orderkey").groupBy("season", "player", "team").agg(F.count("*").alias("n"))
+    names = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("team"), F.col("s_name").alias("name"))
+    top = latest_per_key(played, ["season", "player"], ["n", "team"]).join(names, "team")
+    after = top.select((F.col("season") - 1).alias("season"), "player", F.col("team").alias("next_team_id"), F.col("name").alias("next_team_market"))
+    before = top.select((F.col("season") + 1).alias("season"), "player", F.col("name").alias("prior_team_market"))
+    rows = top.join(after, ["season", "player"], "left").join(before, ["season", "player"], "left")
+    blank = [c for c in (*PF._TRANSFER_PERSON, *PF._TRANSFER_STATS) if c not in ("player_id", "points")]
+    players = rows.select(
+        "season", F.col("player").cast("string").alias("player_id"), F.col("team").alias("team_id"), F.col("name").alias("team_market"),
+        "next_team_id", "next_team_market", "prior_team_market", F.lit("true").alias("is_transfer"), F.lit("").alias("team_key"),
+        F.col("n").alias("points"), *[F.lit(None).cast("string").alias(c) for c in blank],
+    )
+    none = F.lit(None).cast("string")
+    strength = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("entity"), team_key(F.col("s_name")).alias("source_team_key"), (F.col("s_acctbal") / 512).alias("source_kenpom_adj_em"),
+        (F.col("s_suppkey") % 350).alias("source_kenpom_rank_adj_em"), none.alias("source_kenpom_conference"),
+    )
+    context = supplier_years(spark, folder).select("entity", F.col("season").alias("source_season")).join(strength, "entity").drop("entity")
+    return PF.transfer_moves(players, context, current_roster=True).select(
+        "player_id", "source_season", "season", "team", "source_team",
+        r6("source_context_multiplier").alias("multiplier"), r6("context_adjusted_points").alias("points"),
+    )
+
+
 @query(
     "complete_components",
     """
@@ -458,8 +509,6 @@ LEFT JOIN sy ON sy.entity = a.team AND sy.season = a.season
 """,
 )
 def transfer_moves(spark, folder):
-    from tipoff.operators.ranking import latest_per_key
-
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season")
     )
