@@ -271,7 +271,7 @@ def test_line_classes(spark, sf, documents, odd, nothing):
         for k, line in enumerate(t.split("\n")):
             if re.search(r"\S", line):
                 places[line].append((i, k))
-                sets[line] = {m[1] for m in re.finditer(r"(?<!\S)(?=(\S.{0,11}))", line)}
+                sets[line] = {line[n : n + 12] for n in range(max(1, len(line) - 11))}
     lines, root = list(sets), list(range(len(sets)))
 
     def find(x):
@@ -327,6 +327,33 @@ def test_lines_of_long_words(spark):
     assert len(set(root)) == len(lines) - 1
 
 
+def test_recall_of_line_pairs(spark):
+    """Pairs of random lines with some letters changed: nine of ten at 0.8 or more are linked at each length, none below."""
+    rng, letters = np.random.default_rng(4), "abcdefghijklmnopqrstuvwxyz"
+
+    def sets(line):
+        return {line[n : n + 12] for n in range(max(1, len(line) - 11))}
+
+    rows, like = [], defaultdict(list)
+    for words in (5, 8, 15, 40):
+        while len(like[words]) < 100:
+            line = " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(words))
+            other = list(line)
+            for at in rng.integers(0, len(line), 1 + words // 15) if rng.random() < 0.7 else [len(line) - 1]:
+                other[at] = letters[rng.integers(26)]
+            a, b = sets(line), sets("".join(other))
+            if line == "".join(other) or len(a & b) / len(a | b) < 0.6:
+                continue
+            like[words].append((len(rows), 100 * len(a & b) >= 80 * len(a | b)))
+            rows += [(len(rows), line), (len(rows) + 1, "".join(other))]
+    keeper = {r["doc_id"]: r["keeper_doc_id"] for r in line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for words, pairs in like.items():
+        near = [keeper[i + 1] == i for i, alike in pairs if alike]
+        assert len(near) > 20 and sum(near) >= 0.9 * len(near), (words, sum(near), len(near))
+        assert not any(keeper[i + 1] == i for i, alike in pairs if not alike)
+        print("recall", words, sum(near), len(near))
+
+
 def test_packing(spark, sf, documents, odd, nothing):
     from tokenizers import Tokenizer
 

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import named
 from tipoff.llm.graph import components
 from tipoff.session import pinned
 
+ToSet = Callable[[Column], Column]
+# Lines of a bucket that are gathered in one row, about.
+_TILE = 32
+
 
 def shingles(line: str | Column, size: int) -> Column:
-    """Distinct hashes, in ascending order, of the `size` characters from each word start (fewer at the end).
+    """Distinct hashes, in ascending order, of the `size` characters at every place of the line.
 
-    In a word longer than `size` they start at every character up to the last `size` ones, so that every character
-    of the line is in a shingle, and a line that is one such word has all its shingles.
+    A shorter line is one shingle.
     """
-    cut = F.regexp_extract_all(line, F.lit(r"(?=(\S.{0,%d}))(?:\S(?=\S{%d})|\S+)" % (size - 1, size)), F.lit(1))
+    cut = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}|^.{1,%d}\z))." % (size, size - 1)), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s))))
 
 
@@ -43,74 +46,65 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.where(F.col("line").rlike(r"\S")).withColumn("key", F.xxhash64("line"))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of `pairs` (`a`, `b`) whose shingle sets (`key`, `s`) have a Jaccard index of `percent` or more."""
-    left = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    wanted = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
+def _similar(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets have a Jaccard index of `percent` or more; sizes too far apart are told without a look inside."""
+    least, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    shared = F.size(F.array_intersect(x, y))
+    return (100 * least >= percent * most) & ((100 + percent) * shared >= percent * (least + most))
+
+
+def _alike(pairs: DataFrame, items: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
+    """The rows of `pairs` (`a`, `b`) whose items (`key`, `item`) have a Jaccard index of `percent` or more.
+
+    Items are made sets after the joins. The lambda holds both sets, so that each is made once.
+    """
+    left = items.select(F.col("key").alias("a"), F.col("item").alias("left"))
+    right = items.select(F.col("key").alias("b"), F.col("item").alias("right"))
+    both = F.array(F.struct(to_set(F.col("left")).alias("x"), to_set(F.col("right")).alias("y")))
+    wanted = F.exists(both, lambda p: _similar(p["x"], p["y"], percent))
     return pairs.join(left, "a").join(right, "b").where(wanted).select(pairs.columns)
 
 
-def _strays(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(`key`, `root`, `stray`) for the lines of buckets (`band`, `key`) that hold several roots.
+def _stray_links(members: DataFrame, roots: DataFrame, items: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
+    """Edges (`a`, `b`) between the roots of all similar lines that share a bucket (`band`, `key`) of `members`.
 
-    A stray has another root than the most frequent one in one of its buckets.
+    A stray has another root than the most frequent one of its bucket. Of two lines with different roots at least
+    one is a stray, so the strays of a bucket are held against all its lines: blocks of some `_TILE` strays against
+    tiles of some `_TILE` lines, each pair of blocks one row, whatever the size of the bucket. A row yields the pairs
+    of roots it links, not pairs of lines. Buckets with one root are left alone.
     """
     rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    rooted = rooted.select("band", "key", F.coalesce("root", "key").alias("root"))
+    rooted = pinned(rooted.select("band", "key", F.coalesce("root", "key").alias("root")))
     parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    held = rooted.join(mixed, "band").groupBy("key", "root")
-    return held.agg(F.max(F.col("root") != F.col("main.root")).alias("stray"))
-
+    mixed = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    mixed = mixed.where("parts > 1").select(
+        "band",
+        F.col("main.root").alias("main"),
+        F.ceil(F.col("n") / _TILE).alias("tiles"),
+        F.ceil((F.col("n") - F.col("main.n")) / _TILE).alias("blocks"),
+    )
+    held = rooted.join(mixed, "band").join(items, "key")
+    held = pinned(held.withColumn("member", F.struct("root", "item")))
 
-def _parities() -> list[Column]:
-    """128 parity bits of the shingles `h` of a group, in two numbers.
+    def gathered(rows: DataFrame, salt: int, count: str, place: str, name: str) -> DataFrame:
+        dealt = rows.withColumn(place, F.pmod(F.xxhash64(F.lit(salt), "key"), count))
+        return dealt.groupBy("band", place).agg(F.collect_list("member").alias(name), F.first("tiles").alias("tiles"))
 
-    A bit in which two sets differ stands for at least one shingle that only one of them has.
-    """
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    part = F.shiftrightunsigned("h", 6).bitwiseAND(1)
-    return [F.bit_xor(F.when(part == j, bit).otherwise(0)) for j in range(2)]
+    def as_sets(name: str) -> Column:
+        return F.transform(name, lambda m: F.struct(m["root"].alias("root"), to_set(m["item"]).alias("s")))
 
+    tiles = gathered(held, 0, "tiles", "tile", "lines").drop("tiles")
+    blocks = gathered(held.where("root <> main"), 1, "blocks", "block", "strays")
+    blocks = blocks.select("band", "strays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+    both = F.array(F.struct(as_sets("strays").alias("strays"), as_sets("lines").alias("lines")))
 
-def _stray_links(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (`a`, `b`) between roots that connect all similar pairs of a stray and a line with another root.
+    def links(x: Column, lines: Column) -> Column:
+        near = F.filter(lines, lambda y: (y["root"] != x["root"]) & _similar(x["s"], y["s"], percent))
+        return F.transform(near, lambda y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b")))
 
-    An exact join by prefix, length and positional filters, the rarest shingles first: two similar lines share a
-    shingle of their prefixes. Parity bits bound from below the shingles that only one of two lines has. The most
-    promising pair of each two roots is verified first; roots so linked need no more, and all pairs of the others
-    are verified after it. Lines with one root are never paired.
-    """
-    held = lines.join(sets, "key").select("key", F.explode("s").alias("h"))
-    held = held.join(held.groupBy("h").agg(F.count("*").alias("n")), "h")
-    one = Window.partitionBy("key")
-    held = held.withColumn("place", F.row_number().over(one.orderBy("n", "h"))).withColumn("m", F.count("*").over(one))
-    held = held.withColumns({f"p{j}": p.over(one) for j, p in enumerate(_parities())})
-    prefix = held.where(f"n > 1 and 100 * (place - 1) <= {100 - percent} * m").drop("n")
-    prefix = pinned(prefix.join(lines, "key"))
-    odd = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(2))
-    met = prefix.where("stray").alias("x").join(
-        prefix.alias("y"),
-        F.expr(
-            f"""x.h = y.h and x.root <> y.root and (not y.stray or x.key < y.key)
-            and 100 * least(x.m, y.m) >= {percent} * greatest(x.m, y.m)
-            and {100 + percent} * (1 + least(x.m - x.place, y.m - y.place)) >= {percent} * (x.m + y.m)
-            and {100 + percent} * ({odd}) <= {100 - percent} * (x.m + y.m)"""
-        ),
-    )
-    met = met.selectExpr(
-        "x.key as a", "y.key as b", "least(x.root, y.root) as ra", "greatest(x.root, y.root) as rb", f"({odd}) / (x.m + y.m) as gap"
-    )
-    met = pinned(met.distinct())
-    best = met.groupBy("ra", "rb").agg(F.min(F.struct("gap", "a", "b")).alias("best")).select("best.a", "best.b", "ra", "rb")
-    linked = pinned(_alike(best, sets, percent).select("ra", "rb"))
-    joined = linked.groupBy("rb").agg(F.min("ra").alias("to"))
-    rest = met.join(joined, "rb", "left").join(joined.select(F.col("rb").alias("ra"), F.col("to").alias("other")), "ra", "left")
-    rest = rest.where(F.coalesce("to", "rb") != F.coalesce("other", "ra")).select("a", "b", "ra", "rb")
-    rest = rest.join(linked, ["ra", "rb"], "left_anti")
-    return linked.union(_alike(rest, sets, percent).select("ra", "rb")).distinct().toDF("a", "b")
+    found = F.transform(both, lambda p: F.array_distinct(F.flatten(F.transform(p["strays"], lambda x: links(x, p["lines"])))))
+    edges = blocks.join(tiles, ["band", "tile"]).select(F.explode(F.flatten(found)).alias("edge"))
+    return edges.select("edge.a", "edge.b").distinct()
 
 
 def similar_lines(
@@ -128,17 +122,20 @@ def similar_lines(
     signed = lines.select("key", bands(shingles("line", size), count, rows).alias("bands"))
     signed = signed.select("key", *[F.col("bands")[j].alias(f"b{j}") for j in range(count)])
 
-    def sets(keys: DataFrame) -> DataFrame:
+    def items(keys: DataFrame) -> DataFrame:
         chosen = lines.select("key", "line").dropDuplicates(["key"]).join(keys, "key", "left_semi")
-        return chosen.select("key", shingles("line", size).alias("s"))
+        return chosen.select("key", F.col("line").alias("item"))
 
-    return linked_keys(signed, count, sets, percent)
+    return linked_keys(signed, count, items, percent, lambda line: shingles(line, size))
 
 
-def linked_keys(signed: DataFrame, count: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def linked_keys(
+    signed: DataFrame, count: int, items_of: Callable[[DataFrame], DataFrame], percent: int, to_set: ToSet = lambda item: item
+) -> DataFrame:
     """(`node`, `root`) as `similar_lines` has it, from the bands `b0`, `b1`, ... of each `key`.
 
-    `sets_of` gives the sets (`key`, `s`) of a table of distinct keys, one row for each key.
+    `items_of` gives the items (`key`, `item`) of a table of distinct keys, one row for each key; `to_set` makes
+    an item a set.
     """
     distinct = signed.groupBy("key").agg(*[F.first(f"b{j}").alias(f"b{j}") for j in range(count)])
     held = distinct.select("key", F.explode(F.array(*[f"b{j}" for j in range(count)])).alias("band"))
@@ -148,14 +145,15 @@ def linked_keys(signed: DataFrame, count: int, sets_of: Callable[[DataFrame], Da
     members = met.where("crowd is not null").select(F.col("crowd").alias("band"), "key")
     pairs = met.select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end")
     pairs = pairs.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
-    sets = sets_of(met.select("key").distinct())
-    # One shuffle of the lines by key serves both sides of the pairs and the sets kept for the crowded buckets.
-    crowded = sets.join(members.select("key").distinct(), "key", "left_semi")
-    first = _alike(pairs, sets, percent).select("a", "b", F.lit(None).cast("array<bigint>").alias("s"))
-    seen = pinned(first.union(crowded.select("key", F.lit(None).cast("long"), "s")))
-    roots = components(seen.where("s is null").select("a", "b"))
-    kept = seen.where("s is not null").select(F.col("a").alias("key"), "s")
-    more = components(_stray_links(pinned(_strays(members, roots)), kept, percent))
+    items = items_of(met.select("key").distinct())
+    # One shuffle of the lines by key serves both sides of the pairs and the items kept for the crowded buckets.
+    crowded = items.join(members.select("key").distinct(), "key", "left_semi")
+    nothing = F.lit(None).cast(items.schema["item"].dataType).alias("item")
+    first = _alike(pairs, items, to_set, percent).select("a", "b", nothing)
+    seen = pinned(first.union(crowded.select("key", F.lit(None).cast("long"), "item")))
+    roots = components(seen.where("b is not null").select("a", "b"))
+    kept = seen.where("b is null").select(F.col("a").alias("key"), "item")
+    more = components(_stray_links(members, roots, kept, to_set, percent))
     moved = more.select(F.col("node").alias("root"), F.col("root").alias("new"))
     return roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")).union(more)
 

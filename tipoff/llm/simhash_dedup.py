@@ -271,7 +271,7 @@ def similar_texts(texts_of: DataFrame, *, shingle: int = 5, count: int = 20, row
 
     def sets(keys: DataFrame) -> DataFrame:
         chosen = texts_of.join(keys, "key", "left_semi").dropDuplicates(["key"])
-        return with_arrow(chosen, T.StructType().add("s", T.ArrayType(T.LongType())), whole).select("key", "s")
+        return with_arrow(chosen, T.StructType().add("item", T.ArrayType(T.LongType())), whole).select("key", "item")
 
     fields = T.StructType([T.StructField(n, T.LongType()) for n in names])
     return linked_keys(with_arrow(texts_of, fields, signed).select("key", *names), count, sets, percent)
