@@ -117,7 +117,7 @@ def similar_lines(
     First every line is held against the least and the greatest key of its buckets, which is linear in the lines
     however large a bucket is, and all there is to see in buckets of three. Then the lines of larger buckets that
     these links left in different components are searched for the rest. Buckets are summed up before the
-    shuffle and joined back, never gathered.
+    shuffle and joined back; only bounded tiles of them are gathered.
     """
     signed = lines.select("key", bands(shingles("line", size), count, rows).alias("bands"))
     signed = signed.select("key", *[F.col("bands")[j].alias(f"b{j}") for j in range(count)])
