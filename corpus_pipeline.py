@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of texts linked by a five-word Jaccard index of 0.8 or more."""
+    """The document with the least id of each group of texts linked by SimHash or a five-word Jaccard index of 0.8 or more."""
     return one_of_each_group(docs)
 
 

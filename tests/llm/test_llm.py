@@ -141,6 +141,15 @@ def test_one_of_each_group_by_jaccard(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted([2 * g for g in range(60)] + [2 * g + 1 for g in range(60) if not like[g]])
 
 
+def test_one_of_each_group_by_fingerprint(spark):
+    """Texts whose fingerprints differ in two bits at most are one group, whatever their shingle sets."""
+    tails = [" ".join(f"t{i}w{k}" for k in range(12)) for i in range(3)]
+    rows = [(i, "a b c " * 100 + t) for i, t in enumerate(tails)] + [(9, "quite another text of some words")]
+    assert len({_simhash(t) for _, t in rows}) == 2
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 9]
+
+
 def test_bit_planes_find_all_pairs():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 8, 300).astype("u8") | (rng.integers(0, 4, 300).astype("u8") << np.uint64(60))

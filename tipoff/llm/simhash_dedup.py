@@ -277,9 +277,13 @@ def similar_texts(texts_of: DataFrame, *, shingle: int = 5, count: int = 20, row
     return linked_keys(with_arrow(texts_of, fields, signed).select("key", *names), count, sets, percent)
 
 
-def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, with their own columns, of which each component of `similar_texts` keeps its least id.
+def one_of_each_group(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, **options
+) -> DataFrame:
+    """The rows of `docs`, with their own columns, of which each component of like texts keeps its least id.
 
+    Texts are linked by `near_duplicates`, whose fingerprints of `words`-word shingles differ in at most `radius`
+    bits, and by `similar_texts` (its `options`), which adds the exact Jaccard links that lie further apart in bits.
     Rows with a null id are kept only where no row of their component has an id. Rows that repeat the kept id
     within a component are one document and stay together, and so do the nulls of a component without ids.
     """
@@ -287,7 +291,10 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     inner = docs.select([named(c).alias(f"c{i}") for i, c in enumerate(own)])
     key, text = f"c{own.index(id_col)}", f"c{own.index(text_col)}"
     whole = F.col(text).cast("string")
-    roots = similar_texts(inner.select(F.xxhash64(whole).alias("key"), whole.alias("text")), **options)
+    versions = inner.select(F.xxhash64(whole).alias("key"), whole.alias("text"))
+    bits = near_duplicates(versions, shingle=words, radius=radius, id_col="key")
+    like = similar_texts(versions, **options)
+    roots = components(bits.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(like.select("node", "root")))
     mine = inner.select(F.col(key).alias("doc_id"), F.xxhash64(whole).alias("version")).distinct()
     placed = mine.join(roots.withColumnRenamed("node", "version"), "version", "left")
     placed = pinned(placed.select("doc_id", "version", F.coalesce("root", "version").alias("root")))
