@@ -15,6 +15,10 @@ from tipoff.functions.casts import to_int
 from tipoff.functions.similarity import similarity
 
 
+# Plain characters fail here at once, before the long lists of ranges that follow.
+_BEYOND_ASCII = r"(?=[^\x00-\x7F])"
+
+
 def _folds() -> dict[str, str]:
     """Every character whose compatibility decomposition holds a plain character, and that decomposition without marks."""
     found = {}
@@ -33,7 +37,7 @@ def _marks() -> str:
     codes = [c for c in range(0x110000) if all(map(unicodedata.combining, unicodedata.normalize("NFKD", chr(c))))]
     starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
     ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]+"
+    return _BEYOND_ASCII + "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]+"
 
 
 _FOLDS = _folds()
@@ -41,7 +45,7 @@ _MARKS = _marks()
 _ONE = {k: v for k, v in _FOLDS.items() if len(v) == 1}
 _MANY = {k: v for k, v in _FOLDS.items() if len(v) > 1}
 _FOLD_FROM, _FOLD_TO = "".join(_ONE), "".join(_ONE.values())
-_MANY_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MANY) + "]"
+_MANY_CLASS = _BEYOND_ASCII + "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MANY) + "]"
 
 
 def strip_accents(c: Column) -> Column:
@@ -51,7 +55,11 @@ def strip_accents(c: Column) -> Column:
     """
     one = F.translate(F.regexp_replace(c, _MARKS, ""), _FOLD_FROM, _FOLD_TO)
     many = F.map_from_arrays(F.split(F.lit("\n".join(_MANY)), "\n"), F.split(F.lit("\n".join(_MANY.values())), "\n"))
-    spelled = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
+    # the runs between such characters stay whole; only the characters are looked up
+    runs, found = F.split(one, _MANY_CLASS, -1), F.regexp_extract_all(one, F.lit(_MANY_CLASS), F.lit(0))
+    spelled = F.array_join(
+        F.zip_with(runs, found, lambda run, x: F.concat(run, F.coalesce(F.try_element_at(many, x), F.lit("")))), ""
+    )
     folded = F.when(one.rlike(_MANY_CLASS), spelled).otherwise(one)
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
