@@ -411,3 +411,19 @@ def test_cascade_match_spreads_blank_keys(spark):
     )
     got = [r["match_method"] for r in cascade_match(ledger, people, payload=["v"]).collect()]
     assert sorted(map(str, got)) == sorted(["player_id", "player_name_source_team", "player_name_only", "None", "None"])
+
+
+def test_coded_chunks_hold_every_value(spark, monkeypatch):
+    from tipoff.operators import boosting as BO
+
+    monkeypatch.setattr(BO, "_CHUNK", 3)
+    data = [(2000.0, [1.5, None], [1.0]), (2001.0, [-2.0, 7.0], [2.0]), (2002.0, [1.5, float("nan")], [3.0]), (2003.0, [0.0, 7.0], [4.0])]
+    rows = spark.createDataFrame(data, "season double, x array<double>, y array<double>").coalesce(1)
+    got = []
+    for r in BO._coded(rows, 2).collect():
+        sizes = np.frombuffer(r["sizes"], "i4")
+        values = np.split(np.frombuffer(r["values"]), np.cumsum(sizes)[:-1])
+        codes = np.frombuffer(r["codes"], "i4").reshape(2, r["rows"])
+        got += list(zip(np.frombuffer(r["season"]), *[v[c] for v, c in zip(values, codes)], np.frombuffer(r["y"])))
+    want = [(s, *[np.nan if v is None else v for v in x], *y) for s, x, y in data]
+    np.testing.assert_array_equal(np.array(got), np.array(want))
