@@ -61,3 +61,40 @@ def test_entry_without_the_optional_part():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
     assert int(said[0]) > 100 and said[1] == "False"
+
+
+def test_feature_tables_are_made_when_asked(spark, sf):
+    from tipoff.plans.league import League
+    from tipoff.plans.league_queries import _Tables
+
+    tables = _Tables(League(spark, sf))
+    assert tables["targets"].count() > 0 and set(tables) == {"targets"}
+
+
+def test_archive_of_repeated_names(spark, sf, tmp_path):
+    """Coach seasons take one archive row a name, however many teams bear it."""
+    from tipoff.plans.league import League
+
+    for name in ("lineitem", "orders", "part"):
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("s_name", F.lit("Same"))
+    suppliers.write.parquet(str(tmp_path / "supplier.parquet"))
+    league = League(spark, str(tmp_path))
+    seasons = league.ratings.select("Season").distinct().count()
+    assert league.preseason_by_name.count() == seasons
+    known = ["Season", "TeamName", "AdjEMFinal", "AdjEM"]
+    assert league.preseason_by_name.select(known).exceptAll(league.preseason.select(known)).count() == 0
+
+
+def test_final_games_key_every_name(spark):
+    from tipoff.functions.text import schedule_key
+    from tipoff.plans.risk import final_games
+
+    game = ("2001-11-05T00:00Z", "FALSE", "FALSE", "true", "2", 2001, 70, 60, 100.0)
+    names = [("St. Al", "Bo St"), ("Bo St", None), ("", "St. Al"), ("St. Al", "Bo St")]
+    fields = "date string, neutral_site string, conference_competition string, status_type_completed string, season_type string, season int, "
+    fields += "home_score int, away_score int, venue_capacity double, game_id string, home_location string, away_location string"
+    schedule = spark.createDataFrame([(*game, str(i), *n) for i, n in enumerate(names)], fields)
+    want = schedule.select("game_id", *[schedule_key(F.col(f"{s}_location")).alias(s) for s in ("home", "away")])
+    got = final_games(schedule).select("game_id", "home_team_key", "away_team_key")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
