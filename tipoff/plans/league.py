@@ -89,6 +89,11 @@ class League:
         self.preseason = final.join(before, ["Season", "TeamName"], "left").withColumns(
             {"AdjEMChg": F.lit(None).cast("double"), "RankChg": F.lit(None).cast("int")}
         )
+        # the archive with one row a name and season: both sides are cut before they meet, as names may repeat
+        one = lambda rows: latest_per_key(rows, ["Season", "TeamName"], [c for c in rows.columns if c not in ("Season", "TeamName")])
+        self.preseason_by_name = one(final).join(one(before), ["Season", "TeamName"], "left").withColumns(
+            {"AdjEMChg": F.lit(None).cast("double"), "RankChg": F.lit(None).cast("int")}
+        )
         shape = ranked.join(self.suppliers, "team")
         style = lambda names, base: shape.select(
             "Season", "TeamName", F.lit("false").alias("ConfOnly"),

@@ -26,30 +26,34 @@ def _rounded(df, digits: int = 6):
     return df.select(*[(F.round(c, digits).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes])
 
 
+class _Tables(dict):
+    """Feature tables of the league; each is made when it is first asked for and written once to the shared checkpoint folder."""
+
+    def __init__(self, league: League):
+        super().__init__()
+        g = self._g = league
+        self._make = {
+            "ratings": lambda t: P.team_ratings(g.ratings, g.four_factors, g.misc, g.height, g.points),
+            "coach_seasons": lambda t: P.coach_seasons(g.ratings, g.teams, g.preseason_by_name, P.team_styles(g.four_factors, g.misc, g.points)),
+            "coach_history": lambda t: P.coach_history(t["coach_seasons"]),
+            "status": lambda t: P.with_season_keys(P.player_status(g.players()), g.competitions()),
+            "roster": lambda t: P.with_season_keys(P.roster_summary(t["status"].drop("season", "team_key")), g.competitions()),
+            "moves": lambda t: P.transfer_moves(t["status"], P.source_context(g.ratings)),
+            "transfers": lambda t: P.transfer_summary(t["moves"]),
+            "recruiting": lambda t: P.recruiting_features(*g.ranked_feeds(), P.class_features(t["recruits"])),
+            "programs": lambda t: P.program_history(g.ratings),
+            "targets": lambda t: P.net_targets(g.net_rows()),
+        }
+
+    def __missing__(self, name: str):
+        made = P.recruit_players_frame(self._g.recruits()) if name == "recruits" else pinned(self._make[name](self))
+        self[name] = made
+        return made
+
+
 @lru_cache(maxsize=4)
-def _tables(spark, folder) -> dict:
-    """Feature tables of the league; each is written once to the shared checkpoint folder."""
-    g = _league(spark, folder)
-    styles = P.team_styles(g.four_factors, g.misc, g.points)
-    seasons = pinned(P.coach_seasons(g.ratings, g.teams, g.preseason, styles))
-    status = pinned(P.with_season_keys(P.player_status(g.players()), g.competitions()))
-    roster = P.with_season_keys(P.roster_summary(status.drop("season", "team_key")), g.competitions())
-    moves = pinned(P.transfer_moves(status, P.source_context(g.ratings)))
-    recruits = P.recruit_players_frame(g.recruits())
-    recruiting, portal = g.ranked_feeds()
-    return {
-        "ratings": pinned(P.team_ratings(g.ratings, g.four_factors, g.misc, g.height, g.points)),
-        "coach_seasons": seasons,
-        "coach_history": pinned(P.coach_history(seasons)),
-        "status": status,
-        "roster": pinned(roster),
-        "moves": moves,
-        "transfers": pinned(P.transfer_summary(moves)),
-        "recruits": recruits,
-        "recruiting": pinned(P.recruiting_features(recruiting, portal, P.class_features(recruits))),
-        "programs": pinned(P.program_history(g.ratings)),
-        "targets": pinned(P.net_targets(g.net_rows())),
-    }
+def _tables(spark, folder) -> _Tables:
+    return _Tables(_league(spark, folder))
 
 
 @lru_cache(maxsize=4)
