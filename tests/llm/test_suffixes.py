@@ -85,3 +85,22 @@ def test_merge_of_runs(seed):
     merged = [flat[i] for i in order]
     assert merged == sorted(flat) and sorted(order) == list(range(len(flat)))
     assert common.tolist() == [0] * bool(flat) + [SX.common_prefix(a, b) for a, b in zip(merged, merged[1:])]
+
+
+def test_runs_leave_part_by_part():
+    """A run is sent in batches of one part each, made of nothing but the cells, and what it was made of is let go."""
+    rng = np.random.default_rng(3)
+    length, raws = 40, [bytes(rng.integers(97, 100, 3000).astype("u1")) for _ in range(4)]
+    held, size = [], 0
+    for i, raw in enumerate(raws):
+        for at, first, last, core, key in zip(*SX.cells(np.frombuffer(raw, "u1"), np.array([len(raw)]), length, 13)):
+            sides = SX._cell(raw, int(first), int(last), int(core), length)
+            assert sides[1][::-1] + sides[0] == raw[first : last + length]
+            held.append((sides, i, i, int(first), int(last), int(core), int(key), i == 3))
+            size += 1
+    got = list(SX._sorted_run(held, length, 7))
+    assert not held and all(b.num_rows == 1 for b in got)
+    assert {b.column(0)[0].as_py() for b in got} == set(range(7))
+    sent = [r for b in got for r in b.to_pylist()]
+    assert 0 < sum(len(r["core"]) for r in sent) < size
+    assert sum(len(r["window_at"]) for r in sent) > 0

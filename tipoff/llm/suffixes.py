@@ -18,8 +18,8 @@ _BYTES = np.random.default_rng(400).integers(0, 1 << 64, (2, 256), "u8")
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _GRAM = 24  # bytes that choose the anchors
-_SLICE = 1 << 20  # bytes of text that are cut into cells at a time
-_RUN = 24 << 20  # bytes of cells that a task sorts at a time
+_SLICE = 1 << 18  # bytes of text that a task works on at a time
+_RUN = 12 << 20  # bytes of cells that a task sorts at a time
 _LOW = np.uint64((1 << 32) - 1)
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -214,11 +214,17 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _sorted_run(held: list, length: int, n_parts: int) -> pa.RecordBatch:
-    """The rows `_RUNS` of some cells (text, text_1, text_2, first, last, core, key, crowded); one row a part.
+def _cell(raw: bytes, first: int, last: int, core: int, length: int) -> tuple[bytes, bytes]:
+    """The bytes of a cell from its core on, and those before it, read backwards; nothing else of the text is kept."""
+    return raw[core : last + length], raw[first:core][::-1]
 
-    Equal cells are repeats at once: all their windows become a span, and one of them goes on. So are equal
-    windows of crowded cells. What a task sends of a group of copies is therefore one cell, whatever its size.
+
+def _sorted_run(held: list, length: int, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """The rows `_RUNS` of some cells (sides, text_1, text_2, first, last, core, key, crowded), each as soon as it is made.
+
+    A part has one row, and one more if it has crowded cells. Equal cells are repeats at once: all their windows
+    become a span, and one of them goes on. So are equal windows of crowded cells. What a task sends of a group of
+    copies is therefore one cell, whatever its size. `held` is emptied.
     """
     out: dict[int, dict[str, list]] = {}
 
@@ -230,36 +236,42 @@ def _sorted_run(held: list, length: int, n_parts: int) -> pa.RecordBatch:
         for name, value in zip(("span_text_1", "span_text_2", "span_start", "span_end"), (c[1], c[2], start, end)):
             row[name].append(value)
 
+    def made() -> Iterator[pa.RecordBatch]:
+        while out:
+            part, row = out.popitem()
+            yield pa.RecordBatch.from_pylist([{"part": part, **row}], _arrow(_RUNS))
+
     by_part: dict[int, list] = {}
     crowded = []
-    for c in held:
+    while held:
+        c = held.pop()
         if c[7]:
             crowded.append(c)
         else:
-            raw, first, last, core = c[0], c[3], c[4], c[5]
-            by_part.setdefault(c[6] % n_parts, []).append((raw[core : last + length], raw[first:core][::-1], c))
-    for part, group in by_part.items():
-        group.sort(key=lambda x: x[:2])
+            by_part.setdefault(c[6] % n_parts, []).append(c)
+    while by_part:
+        part, group = by_part.popitem()
+        group.sort(key=lambda c: c[0])
         kept, repeated = [], False
-        for k, item in enumerate(group):
-            same = k > 0 and item[:2] == kept[-1][:2]
+        for c in group:
+            same = bool(kept) and c[0] == kept[-1][0]
             if same:
                 if not repeated:
-                    c = kept[-1][2]
-                    span(part, c, c[3], c[4] + length)
-                span(part, item[2], item[2][3], item[2][4] + length)
+                    span(part, kept[-1], kept[-1][3], kept[-1][4] + length)
+                span(part, c, c[3], c[4] + length)
             else:
-                kept.append(item)
+                kept.append(c)
             repeated = same
         row = of(part)
-        row["right_shared"], row["right"] = front_coded([k[0] for k in kept])
-        order = sorted(range(len(kept)), key=lambda i: kept[i][1])
+        row["right_shared"], row["right"] = front_coded([c[0][0] for c in kept])
+        order = sorted(range(len(kept)), key=lambda i: kept[i][0][1])
         row["left_order"] = order
-        row["left_shared"], row["left"] = front_coded([kept[i][1] for i in order])
+        row["left_shared"], row["left"] = front_coded([kept[i][0][1] for i in order])
         for name, at in (("text_1", 1), ("text_2", 2), ("first", 3), ("last", 4), ("core", 5)):
-            row[name] = [k[2][at] for k in kept]
+            row[name] = [c[at] for c in kept]
+        yield from made()
     if crowded:
-        strings = [c[0][c[3] : c[4] + length] for c in crowded]
+        strings = [c[0][1][::-1] + c[0][0] for c in crowded]
         data = np.frombuffer(b"".join(strings), "u1")
         counts = np.array([c[4] - c[3] + 1 for c in crowded])
         owner = np.repeat(np.arange(len(crowded)), counts)
@@ -280,8 +292,7 @@ def _sorted_run(held: list, length: int, n_parts: int) -> pa.RecordBatch:
             values = (int(h[0][w]), int(h[1][w]), c[1], c[2], c[3] + int(offset[w]))
             for name, value in zip(("window_1", "window_2", "window_text_1", "window_text_2", "window_at"), values):
                 row[name].append(value)
-    rows = [{"part": part, **row} for part, row in out.items()]
-    return pa.RecordBatch.from_pylist(rows, _arrow(_RUNS))
+    yield from made()
 
 
 def _stretches(owner: np.ndarray, offset: np.ndarray, flag: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -294,15 +305,21 @@ def _stretches(owner: np.ndarray, offset: np.ndarray, flag: np.ndarray) -> Itera
     yield from zip(owner[a].tolist(), offset[a].tolist(), (offset[b] + 1).tolist())
 
 
-def _merged_part(rows: list[dict], length: int, cell: int) -> pa.RecordBatch:
-    """The spans of one part, from the runs that tasks sent to it."""
-    joined = lambda name, kind="i8": np.array([v for r in rows for v in r[name]], kind)
+def _merged_part(rows: list[pa.RecordBatch], length: int, cell: int) -> pa.RecordBatch:
+    """The spans of one part, from the runs that tasks sent to it, each a batch of one row."""
+    lists = lambda name: [r.column(_RUNS.names.index(name))[0].values for r in rows]
+    joined = lambda name: np.concatenate([v.to_numpy(zero_copy_only=False).astype("i8") for v in lists(name)])
+
+    def merged(side: str) -> tuple[np.ndarray, np.ndarray]:
+        shared = [v.to_pylist() for v in lists(f"{side}_shared")]
+        return merge_runs([decoded(k, v.to_pylist()) for k, v in zip(shared, lists(side))], shared)
+
     out = [[joined(f"span_{n}") for n in _SPANS.names]]
-    if n := sum(len(r["core"]) for r in rows):
-        right = merge_runs([decoded(r["right_shared"], r["right"]) for r in rows], [r["right_shared"] for r in rows])
-        left = merge_runs([decoded(r["left_shared"], r["left"]) for r in rows], [r["left_shared"] for r in rows])
-        before = np.cumsum([0, *(len(r["core"]) for r in rows)])
-        place = np.concatenate([np.array(r["left_order"], "i8") + b for r, b in zip(rows, before)])
+    sizes = [len(v) for v in lists("core")]
+    if n := sum(sizes):
+        right, left = merged("right"), merged("left")
+        before = np.cumsum([0, *sizes])
+        place = np.concatenate([v.to_numpy(zero_copy_only=False).astype("i8") + b for v, b in zip(lists("left_order"), before)])
         core, first, last = joined("core"), joined("first"), joined("last")
         twice = repeated_windows(right, (place[left[0]], left[1]), core - last, core - first, length, cell)
         owner, u = np.repeat(np.arange(n), cell), np.tile(np.arange(cell), n)
@@ -381,26 +398,27 @@ def distinct_without_repeats(
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            one, two, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4)
-            for i, raw in enumerate(texts(batch)):
-                for c in lists[i].as_py():
-                    held.append((raw, one[i], two[i], c["first"], c["last"], c["core"], c["key"], c["crowded"]))
-                    size += c["last"] - c["first"] + length
-                if size > _RUN:
-                    yield _sorted_run(held, length, n_parts)
-                    held, size = [], 0
-        if held:
-            yield _sorted_run(held, length, n_parts)
+            for part in slices(batch, "text", _SLICE):
+                one, two, lists = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(4)
+                for i, raw in enumerate(texts(part)):
+                    for c in lists[i].as_py():
+                        sides = _cell(raw, c["first"], c["last"], c["core"], length)
+                        held.append((sides, one[i], two[i], c["first"], c["last"], c["core"], c["key"], c["crowded"]))
+                        size += c["last"] - c["first"] + length
+                    if size > _RUN:
+                        yield from _sorted_run(held, length, n_parts)
+                        size = 0
+        yield from _sorted_run(held, length, n_parts)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for part, row in zip(batch.column(0).to_pylist(), batch.to_pylist()):
+            for i, part in enumerate(batch.column(0).to_pylist()):
                 if part != now and rows:
                     yield _merged_part(rows, length, cell)
                     rows = []
                 now = part
-                rows.append(row)
+                rows.append(batch.slice(i, 1))
         if rows:
             yield _merged_part(rows, length, cell)
 
@@ -413,7 +431,7 @@ def distinct_without_repeats(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 n_bytes, gone, kept = [], [], []
                 for raw, copies, found in zip(texts(part), part.column(3).to_pylist(), part.column(4).to_pylist()):
                     again = copies > 1 and len(raw) >= length
