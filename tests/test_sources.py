@@ -129,3 +129,27 @@ def test_options_and_links(spark):
     assert [(r["season"], r["season_label"], r["url"]) for r in got.collect()] == [
         (2024, "2023-24", "https://x.org/s/1"), (2026, "2025-26", "https://x.org/selection_rankings/nitty_gritties/77"),
     ]
+
+
+def test_plain_pages_leave_the_parser(monkeypatch):
+    """Pages of plain tags are cut without the parser and yield its rows; pages with anything else go through it."""
+    import random
+
+    from tipoff.sources import pages as P
+
+    draw, calls = random.Random(4), []
+    plain = ["<table>", '<table class="x sticky">', '<TABLE class="a">', "</table>", "<tr>", "</tr>", "<td>", "</TD>", "<th>", "</th>", "</td>",
+             "a  b", "&amp;", "&lt", "x & y", "\n", "<b>", "</b>", '<td class="c" id="d">', "> 5", "&nbsp;", "é"]
+    odd = ["<!-- <td> -->", "<td colspan=2>", "<br/>", "<title>", "<script>", "</td >", '<p title="q>', "<", "<3", '<a href="u?x&y">']
+    made = ["".join(draw.choice(plain) for _ in range(draw.randint(1, 30))) for _ in range(400)]
+    made += ["<table><tr><td>1</td>" + draw.choice(odd) + "</tr>" + draw.choice(plain) for _ in range(100)]
+    want = []
+    for html in made:
+        for wanted in (None, "sticky"):
+            parser = P._Tables(wanted)
+            parser.feed(html)
+            want.append(parser.rows)
+    feed = P._Tables.feed
+    monkeypatch.setattr(P._Tables, "feed", lambda self, html: (calls.append(html), feed(self, html)))
+    assert [P._rows_of(html, wanted) for html in made for wanted in (None, "sticky")] == want
+    assert sum(map(len, want)) > 50 and set(calls) == set(made[400:])

@@ -79,9 +79,9 @@ def _order_pages(spark, folder):
         F.lit("<html><body><h1>D-I Men&#39;s Basketball NET Ranking thru games "), F.date_format("o_orderdate", "MM/dd/yyyy"),
         F.lit("</h1><table><tr><th>Team</th></tr>"), body, F.lit("</table></body></html>"),
     )
-    # landed pages come in many files; the small derived table is spread the same way
-    rows = lines.join(orders, "l_orderkey").select("l_orderkey", html.alias("html"))
-    return rows.repartition(shuffle_width(rows), "l_orderkey")
+    # landed pages come in many files; the small derived table is spread the same way, before its rows are written out
+    rows = lines.join(orders, "l_orderkey")
+    return rows.repartition(shuffle_width(rows), "l_orderkey").select("l_orderkey", html.alias("html"))
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -62,8 +64,67 @@ class _Tables(HTMLParser):
             self.depth -= 1
 
 
+# What stands between the brackets of a plain tag: a name, then quoted attributes without entities.
+_TAG = re.compile(r'(/[a-zA-Z][a-zA-Z0-9]*|[a-zA-Z][a-zA-Z0-9]*(?: [a-zA-Z][a-zA-Z0-9-]*="[^"<>&]*")*)')
+_CLASS = re.compile(r' class="([^"]*)"', re.IGNORECASE)
+_CELLS = {"td": 1, "th": 1, "/td": 2, "/th": 2, "tr": 3, "/tr": 4, "table": 5, "/table": 6}
+# Elements whose content is not read as markup.
+_RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext", "noscript", "svg", "math"))
+
+
+def _plain_rows(html: str, wanted: str | None) -> list[list[str]] | None:
+    """The rows that `_Tables` finds in a page of plain tags, cut at the brackets; None if the page holds anything else."""
+    depth, rows, row, cell = 0, [], None, None
+    for piece in html.split("<")[1:]:
+        tag, closed, text = piece.partition(">")
+        kind = _CELLS.get(tag)
+        if kind is None or not closed:
+            name = tag.partition(" ")[0].lower()
+            if not closed or not _TAG.fullmatch(tag) or name.removeprefix("/") in _RAW:
+                return None
+            kind = _CELLS.get(name, 0)
+        if kind == 1:
+            if depth:
+                cell = []
+        elif kind == 2:
+            if cell is not None:
+                if row is not None:
+                    row.append(" ".join(" ".join(cell).split()))
+                cell = None
+        elif kind == 3:
+            if depth:
+                row = []
+        elif kind == 4:
+            if row:
+                rows.append(row)
+                row = None
+        elif kind == 5:
+            if depth or wanted is None:
+                depth += 1
+            else:
+                found = _CLASS.findall(tag)
+                depth += bool(found) and wanted in found[-1].split()
+        elif kind == 6 and depth:
+            depth -= 1
+        if text and cell is not None:
+            cell.append(unescape(text) if "&" in text else text)
+    return rows
+
+
+def _rows_of(html: str, wanted: str | None) -> list[list[str]]:
+    rows = _plain_rows(html, wanted)
+    if rows is None:
+        parser = _Tables(wanted)
+        parser.feed(html)
+        rows = parser.rows
+    return rows
+
+
 def table_rows(pages: DataFrame, ids: Sequence[str], html: str = "html", table_class: str | None = None) -> DataFrame:
-    """(ids, row, cells) of the table rows of every page; only pages with a table reach Python."""
+    """(ids, row, cells) of the table rows of every page; only pages with a table reach Python.
+
+    Pages of plain tags are cut at the brackets; the parser goes through all others.
+    """
     ids = list(ids)
     kept = pages.where(F.lower(F.col(html)).contains("<table")).select(*ids, html)
 
@@ -71,9 +132,7 @@ def table_rows(pages: DataFrame, ids: Sequence[str], html: str = "html", table_c
         for pdf in batches:
             out = {c: [] for c in [*ids, "row", "cells"]}
             for record in pdf.itertuples(index=False):
-                parser = _Tables(table_class)
-                parser.feed(record[-1])
-                for i, cells in enumerate(parser.rows):
+                for i, cells in enumerate(_rows_of(record[-1], table_class)):
                     for c, v in zip(ids, record):
                         out[c].append(v)
                     out["row"].append(i)
