@@ -385,6 +385,21 @@ def test_ridge_by_label_equals_the_dense_fit(spark):
     assert model.effects.count() == 100_000 and model.score(many, "p").where("p is null").isEmpty()
 
 
+def test_rows_without_a_label_pass_no_join(spark, capsys):
+    """Only labelled rows are dealt for the join with the label terms, and with the features already summed up."""
+    df = spark.range(200).selectExpr(
+        "id", "case when id % 10 = 0 then concat('g', id % 3) when id % 2 = 0 then '' end as g", "cast(id % 13 as double) as u", "cast(id % 5 as double) as y"
+    )
+    model = fit_ridge_by_label(df, ["u"], F.col("y"), 1.0, "g")
+    scored = model.score(df, "p")
+    assert scored.columns == [*df.columns, "p"] and scored.count() == 200 and scored.where("p is null").isEmpty()
+    scored.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Union") < plan.index("Join") and "xxhash64" not in plan
+    left = model.score(df.where("g is null or g = ''"), "p")
+    assert left.count() == 180 and {r["p"] for r in left.collect()} <= {r["p"] for r in scored.collect()}
+
+
 def test_weighted_means_differ_on_null(spark):
     df = spark.createDataFrame([(1.0, 10.0), (None, 10.0), (5.0, 0.0)], "v double, w double")
     r = df.agg(

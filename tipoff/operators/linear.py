@@ -265,14 +265,13 @@ class LabelRidge:
     def score(self, df: DataFrame, out: str) -> DataFrame:
         """`df` with the prediction. Rows with a null, blank or unknown label get no label term.
 
-        Rows without a label meet nothing; they are spread so that they are not one partition of the join.
+        Rows without a label meet nothing, so they do not pass the join; what the features say is summed up before it.
         """
-        label = _label(self.label_column)
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(1024)) + 1
-        keyed = df.withColumns({"_label": label, "_spread": F.when(label.isNull(), spread).otherwise(F.lit(0).cast("long"))})
-        known = self.effects.withColumn("_spread", F.lit(0).cast("long"))
-        joined = keyed.join(known, ["_label", "_spread"], "left")
-        return joined.withColumn(out, self.features.predict() + F.coalesce("_effect", F.lit(0.0))).drop("_label", "_spread", "_effect")
+        base = df.withColumns({"_label": _label(self.label_column), "_base": self.features.predict()})
+        none = base.where(F.col("_label").isNull()).withColumn("_effect", F.lit(None).cast("double"))
+        known = base.where(F.col("_label").isNotNull()).join(self.effects, "_label", "left")
+        joined = none.unionByName(known)
+        return joined.withColumn(out, F.col("_base") + F.coalesce("_effect", F.lit(0.0))).drop("_label", "_base", "_effect")
 
 
 def _label(column: str) -> Column:
