@@ -153,3 +153,15 @@ def test_plain_pages_leave_the_parser(monkeypatch):
     monkeypatch.setattr(P._Tables, "feed", lambda self, html: (calls.append(html), feed(self, html)))
     assert [P._rows_of(html, wanted) for html in made for wanted in (None, "sticky")] == want
     assert sum(map(len, want)) > 50 and set(calls) == set(made[400:])
+
+
+def test_sums_of_splits_need_no_text(spark, tmp_path):
+    """Whether a file opens a list is told chunk by chunk; blanks and a byte order mark before it do not count."""
+    (tmp_path / "a.json").write_bytes('﻿ \n[1, {"a": 1}, {"a": 2}]'.encode())
+    (tmp_path / "b.json").write_text('{"a": [1]}, [{"a": 3}]')
+    chunks = files._chunks(spark, str(tmp_path / "*.json"))
+    first = chunks.groupBy("_path").agg(F.min_by("_listed", "_at").alias("listed")).collect()
+    assert {r["_path"][-6:]: r["listed"] for r in first} == {"a.json": True, "b.json": False}
+    assert files.read_json_list(spark, str(tmp_path / "a.json"), "a int").count() == 2
+    with pytest.raises(ValueError, match="b.json"):
+        files.read_json_list(spark, str(tmp_path / "b.json"), "a int")

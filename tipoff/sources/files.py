@@ -24,6 +24,7 @@ def _chunks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     A brace is never escaped, so no escape is cut. `_odd` tells whether a chunk starts inside a string if its
     split starts outside; `_a` is the change of depth then, `_b` the change if the split starts inside a string.
+    `_listed` tells whether the chunk opens a list, so that the sums of the splits need no text.
     """
     rows = spark.read.option("lineSep", "}").text(path).select(
         file_path().alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value"
@@ -37,7 +38,8 @@ def _chunks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         return _count(marks, "{") + _count(marks, "[") - _count(marks, "]") - closes
 
     before = Window.partitionBy(*_PIECE).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"_quotes": quotes, "_out": change(0), "_in": change(1)})
+    listed = F.ltrim(F.regexp_replace("value", r"^[\ufeff\s]+", "")).startswith("[")
+    rows = rows.withColumns({"_quotes": quotes, "_out": change(0), "_in": change(1), "_listed": listed})
     rows = rows.withColumn("_odd", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
     even = F.col("_odd") == 0
     return rows.withColumns({"_a": F.when(even, F.col("_out")).otherwise(F.col("_in")), "_b": F.when(even, F.col("_in")).otherwise(F.col("_out"))})
@@ -55,21 +57,21 @@ def _list_entries(
     """
     chunks = _chunks(spark, path)
     sums = chunks.groupBy(*_PIECE).agg(
-        (F.sum("_quotes") % 2).alias("_quotes"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.min_by("value", "_at").alias("_head")
+        (F.sum("_quotes") % 2).alias("_quotes"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.min_by("_listed", "_at").alias("_listed")
     )
     earlier = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_inside", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)) % 2)
     sums = sums.withColumn("_change", F.when(F.col("_inside") == 0, F.col("_a")).otherwise(F.col("_b")))
     sums = sums.withColumn("_depth", F.coalesce(F.sum("_change").over(earlier), F.lit(0)))
-    sums = pinned(sums.select(*_PIECE, "_inside", "_depth", "_head"))
+    sums = pinned(sums.select(*_PIECE, "_inside", "_depth", "_listed"))
     if strict:
-        wrong = sums.where((F.col("_start") == 0) & ~F.ltrim(F.regexp_replace("_head", r"^[\ufeff\s]+", "")).startswith("[")).first()
+        wrong = sums.where((F.col("_start") == 0) & ~F.col("_listed")).first()
         if wrong is not None:
             raise ValueError(f"expected a JSON list in {wrong['_path']}")
     before = Window.partitionBy(*_PIECE).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*_PIECE).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     outside = F.col("_inside") == 0
-    known = chunks.join(sums.drop("_head"), _PIECE).withColumn("_change", F.when(outside, F.col("_a")).otherwise(F.col("_b")))
+    known = chunks.drop("_listed").join(sums.drop("_listed"), _PIECE).withColumn("_change", F.when(outside, F.col("_a")).otherwise(F.col("_b")))
     known = known.withColumn("_deep", F.col("_depth") + F.coalesce(F.sum("_change").over(before), F.lit(0)))
     # Outside entries: scalars, strings and lists up to the first brace that is not in a string.
     whole = F.concat(F.when((F.col("_inside") + F.col("_odd")) % 2 == 1, '"').otherwise(""), "value")
