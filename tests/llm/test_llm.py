@@ -16,6 +16,7 @@ import corpus_pipeline
 from check import compare, duck
 from tipoff.llm import fingerprints as FP
 from tipoff.llm import language_id as LI
+from tipoff.llm import line_dedup
 from tipoff.llm import packing as PK
 from tipoff.llm import quality as QU
 from tipoff.llm import sharding as SH
@@ -317,6 +318,31 @@ def test_crowded_buckets_of_lines(spark):
     assert {(r["doc_id"], r["keeper_doc_id"]) for r in got} == {(i, i - i % 10) for i, _ in rows}
 
 
+def test_variants_of_a_line_meet_in_few_pairs(spark, monkeypatch):
+    """Lines like one line, not like each other, are one class with it; without it they are apart. Neither takes all pairs."""
+    rng, letters, rows, pairs = np.random.default_rng(9), list("abcdefghijklmnopqrstuvwxyz "), [], []
+    for group, with_base in ((0, True), (10_000, False)):
+        base = "".join(rng.choice(letters, 133))
+        variants = [base[:at] + c + base[at + 1 :] for at in range(14, 119, 13) for c in "0123456789"]
+        variants += [base[:at] + "!" + base[at + 1 :] for at in range(14, 119)]
+        rows += [(group + i, line) for i, line in enumerate([base] * with_base + variants)]
+    sets = {i: {line[n : n + 12] for n in range(122)} for i, line in rows}
+    apart = line_dedup._apart
+
+    def counted(*args):
+        met = apart(*args)
+        pairs.append(met.count())
+        return met
+
+    monkeypatch.setattr(line_dedup, "_apart", counted)
+    got = line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = [r for r in got if r["doc_id"] < 10_000]
+    assert sum(r["keeper_doc_id"] == 0 for r in first) >= 0.98 * len(first)
+    assert all(len(sets[0] & sets[r["doc_id"]]) >= 0.8 * len(sets[0] | sets[r["doc_id"]]) for r in first)
+    assert all(r["keeper_doc_id"] >= 10_000 for r in got if r["doc_id"] >= 10_000)
+    assert sum(pairs) < 10 * len(rows)
+
+
 def test_lines_of_long_words(spark):
     """URLs, text without blanks and long tokens, against brute force on the shingles at all positions."""
     han = "\u6771\u4eac\u3067\u4eca\u65e5\u306f\u96e8\u304c\u964d\u308a\u307e\u3057\u305f"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,29 +13,44 @@ from tipoff.llm.graph import components
 from tipoff.session import pinned
 
 ToSet = Callable[[Column], Column]
-# Lines of a bucket that are gathered in one row, about.
-_TILE = 32
+# Lines of a bucket that are held against each other one by one, at most.
+_FEW = 32
 
 
-def shingles(line: str | Column, size: int) -> Column:
-    """Distinct hashes, in ascending order, of the `size` characters at every place of the line.
+def _places(line: str | Column, size: int) -> Column:
+    """Hashes of the `size` characters at every place of the line, repeats included; a shorter line is one shingle.
 
-    A shorter line is one shingle.
+    Four bytes stand for each character, so that a place is found without a walk over those before it.
     """
-    cut = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}|^.{1,%d}\z))." % (size, size - 1)), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s))))
+    wide = F.encode(line, "UTF-32")
+    last = F.greatest(F.octet_length(wide) - 4 * size, F.lit(0)) + 1
+    starts = F.sequence(F.lit(1), last, F.lit(4))
+    cut = F.transform(F.array(wide), lambda w: F.transform(starts, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * size)))))
+    return F.flatten(cut)
+
+
+def shingles(line: str | Column, size: int) -> Column:
+    """Distinct hashes of the `size` characters at every place of the line; a shorter line is one shingle."""
+    return F.array_distinct(_places(line, size))
 
 
 def bands(hashes: str | Column, count: int, rows: int) -> Column:
-    """`count` band values: the hash of the `rows` least shingle hashes from each of `count` points of the hash circle.
+    """`count` band values: the hash of the `rows` least distinct shingle hashes from each of `count` points of the hash circle.
 
-    Two lines of similarity s agree on the `rows` next hashes after a point with probability s ** rows.
+    Two lines of similarity s agree on the `rows` next hashes after a point with probability s ** rows. `hashes` may
+    repeat: a few after a point are looked at first, all of them where these hold too few distinct ones.
     """
     points = [j * (1 << 64) // count - (1 << 63) for j in range(count)]
+    hashes = F.sort_array(hashes)
     merged = F.sort_array(F.concat(hashes, F.array([F.lit(p).cast("long") for p in points])))
     circle = F.concat(hashes, hashes)
-    starts = [F.array_position(merged, F.lit(p).cast("long")).cast("int") - j for j, p in enumerate(points)]
-    return F.array([F.xxhash64(F.lit(j), F.slice(circle, s, F.lit(rows))) for j, s in enumerate(starts)])
+
+    def band(j: int) -> Column:
+        start = F.array_position(merged, F.lit(points[j]).cast("long")).cast("int") - j
+        few, every = (F.slice(F.array_distinct(F.slice(circle, start, n)), 1, rows) for n in (F.lit(3 * rows), F.size(hashes)))
+        return F.xxhash64(F.lit(j), F.when(F.size(few) == rows, few).otherwise(every))
+
+    return F.array([band(j) for j in range(count)])
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,65 +62,111 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.where(F.col("line").rlike(r"\S")).withColumn("key", F.xxhash64("line"))
 
 
-def _similar(x: Column, y: Column, percent: int) -> Column:
-    """Whether two sets have a Jaccard index of `percent` or more; sizes too far apart are told without a look inside."""
-    least, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
-    shared = F.size(F.array_intersect(x, y))
-    return (100 * least >= percent * most) & ((100 + percent) * shared >= percent * (least + most))
-
-
 def _alike(pairs: DataFrame, items: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
     """The rows of `pairs` (`a`, `b`) whose items (`key`, `item`) have a Jaccard index of `percent` or more.
 
-    Items are made sets after the joins. The lambda holds both sets, so that each is made once.
+    Items are made sets after the joins. No lambda holds the sets, so generated code makes each once and compares them.
     """
     left = items.select(F.col("key").alias("a"), F.col("item").alias("left"))
     right = items.select(F.col("key").alias("b"), F.col("item").alias("right"))
-    both = F.array(F.struct(to_set(F.col("left")).alias("x"), to_set(F.col("right")).alias("y")))
-    wanted = F.exists(both, lambda p: _similar(p["x"], p["y"], percent))
+    x, y = to_set(F.col("left")), to_set(F.col("right"))
+    wanted = (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.size(x) + F.size(y))
     return pairs.join(left, "a").join(right, "b").where(wanted).select(pairs.columns)
 
 
-def _stray_links(members: DataFrame, roots: DataFrame, items: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
-    """Edges (`a`, `b`) between the roots of all similar lines that share a bucket (`band`, `key`) of `members`.
+def _mixed(rooted: DataFrame) -> DataFrame:
+    """The rows (`band`, `key`, `root`) of buckets with several roots, the most frequent root `main` and the lines `n` of the bucket."""
+    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mains = parts.groupBy("band").agg(
+        F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")
+    )
+    return rooted.join(mains.where("parts > 1").drop("parts"), "band")
+
+
+def _moved(rooted: DataFrame, edges: DataFrame) -> DataFrame:
+    """`rooted` with the roots that `edges` between its roots leave."""
+    to = components(edges).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return rooted.join(to, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+
+
+def _parities(items: DataFrame, to_set: ToSet) -> DataFrame:
+    """`key`, the size `m` of its set and 256 parity bits `p0`, `p1`, ... of it.
 
-    A stray has another root than the most frequent one of its bucket. Of two lines with different roots at least
-    one is a stray, so the strays of a bucket are held against all its lines: blocks of some `_TILE` strays against
-    tiles of some `_TILE` lines, each pair of blocks one row, whatever the size of the bucket. A row yields the pairs
-    of roots it links, not pairs of lines. Buckets with one root are left alone.
+    A bit in which two sets differ stands for at least one element that only one of them has.
     """
-    rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    rooted = pinned(rooted.select("band", "key", F.coalesce("root", "key").alias("root")))
-    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    mixed = mixed.where("parts > 1").select(
-        "band",
-        F.col("main.root").alias("main"),
-        F.ceil(F.col("n") / _TILE).alias("tiles"),
-        F.ceil((F.col("n") - F.col("main.n")) / _TILE).alias("blocks"),
+    bits = [F.expr(f"bit_xor(if((h >> 6 & 3) = {j}, 1L << cast(h & 63 as int), 0L))").alias(f"p{j}") for j in range(4)]
+    cut = items.select("key", F.explode(to_set(F.col("item"))).alias("h"))
+    return cut.groupBy("key").agg(F.count("*").cast("int").alias("m"), *bits)
+
+
+def _ranked(items: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
+    """`key`, how `common` the elements of its set are on the mean, and its `prefix`: its rarest elements, rarest first.
+
+    Two sets with a Jaccard index of `percent` or more share an element of their prefixes.
+    """
+    cut = items.select("key", F.explode(to_set(F.col("item"))).alias("h"))
+    counts = cut.groupBy("h").agg(F.count("*").alias("n"))
+    sets = cut.join(counts, "h").groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s"), F.count("*").alias("m"), F.sum("n").alias("common")
     )
-    held = rooted.join(mixed, "band").join(items, "key")
-    held = pinned(held.withColumn("member", F.struct("root", "item")))
+    prefix = F.slice("s", 1, F.floor((100 - percent) * F.col("m") / 100).cast("int") + 1)
+    return sets.select("key", (F.col("common") / F.col("m")).alias("common"), prefix.alias("prefix"))
+
 
-    def gathered(rows: DataFrame, salt: int, count: str, place: str, name: str) -> DataFrame:
-        dealt = rows.withColumn(place, F.pmod(F.xxhash64(F.lit(salt), "key"), count))
-        return dealt.groupBy("band", place).agg(F.collect_list("member").alias(name), F.first("tiles").alias("tiles"))
+def _may_be_like(percent: int) -> str:
+    """Whether two lines `x` and `y` of different roots, at least one a stray, may be similar by their sizes and parities."""
+    odd = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(4))
+    return f"""x.root <> y.root and (not y.stray or x.key < y.key) and 100 * least(x.m, y.m) >= {percent} * greatest(x.m, y.m)
+        and {100 + percent} * ({odd}) <= {100 - percent} * (x.m + y.m)"""
 
-    def as_sets(name: str) -> Column:
-        return F.transform(name, lambda m: F.struct(m["root"].alias("root"), to_set(m["item"]).alias("s")))
 
-    tiles = gathered(held, 0, "tiles", "tile", "lines").drop("tiles")
-    blocks = gathered(held.where("root <> main"), 1, "blocks", "block", "strays")
-    blocks = blocks.select("band", "strays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
-    both = F.array(F.struct(as_sets("strays").alias("strays"), as_sets("lines").alias("lines")))
+def _met(lines: DataFrame, wanted: str) -> DataFrame:
+    """Pairs (`a`, `b`, their roots `ra` and `rb`) of a stray and another of `lines`."""
+    met = lines.where("stray").alias("x").join(lines.alias("y"), F.expr(wanted))
+    return met.selectExpr("x.key as a", "y.key as b", "least(x.root, y.root) as ra", "greatest(x.root, y.root) as rb").distinct()
 
-    def links(x: Column, lines: Column) -> Column:
-        near = F.filter(lines, lambda y: (y["root"] != x["root"]) & _similar(x["s"], y["s"], percent))
-        return F.transform(near, lambda y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b")))
 
-    found = F.transform(both, lambda p: F.array_distinct(F.flatten(F.transform(p["strays"], lambda x: links(x, p["lines"])))))
-    edges = blocks.join(tiles, ["band", "tile"]).select(F.explode(F.flatten(found)).alias("edge"))
-    return edges.select("edge.a", "edge.b").distinct()
+def _apart(mixed: DataFrame, ranked: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Pairs (`a`, `b`, roots `ra` and `rb`) of a stray and a line of one of its buckets that may be similar."""
+    lines = mixed.groupBy("key").agg(
+        F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray"), F.collect_list("band").alias("bands")
+    )
+    held = lines.join(ranked.drop("common"), "key").join(prints, "key").select("*", F.posexplode("prefix").alias("place", "e"))
+    held = held.where("e.n > 1").withColumn("h", F.col("e.h")).drop("e", "prefix")
+    wanted = f"""x.h = y.h and {_may_be_like(percent)}
+        and {100 + percent} * least(x.m - x.place, y.m - y.place) >= {percent} * (x.m + y.m)
+        and arrays_overlap(x.bands, y.bands)"""
+    return _met(held, wanted)
+
+
+def _stray_links(members: DataFrame, roots: DataFrame, items: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
+    """Edges (`a`, `b`) that connect the roots of all similar lines that share a bucket (`band`, `key`) of `members`.
+
+    A stray has another root than the most frequent one of its bucket. In a bucket of up to `_FEW` lines the strays are
+    held against all lines. The lines of a larger one are held against its most central line, whose shingles are the
+    most common ones, then against the most central stray: near copies of a line are like that line, if not like each
+    other. That is linear in the lines. What is still apart meets in an exact join by prefix, length and positional
+    filters, the rarest shingles first, of strays with lines of their buckets.
+    """
+    rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    first = pinned(_mixed(rooted.select("band", "key", F.coalesce("root", "key").alias("root"))))
+    items = pinned(items.join(first.select("key").distinct(), "key", "left_semi"))
+    prints = pinned(_parities(items, to_set))
+    few = first.where(F.col("n") <= _FEW).join(prints, "key").withColumn("stray", F.col("root") != F.col("main"))
+    found = [_alike(pinned(_met(few, f"x.band = y.band and {_may_be_like(percent)}")), items, to_set, percent).select("ra", "rb")]
+    now = first.where(F.col("n") > _FEW)
+    ranked = pinned(_ranked(items.join(now.select("key").distinct(), "key", "left_semi"), to_set, percent))
+    for strays in (False, True):
+        ours = now.where("root <> main") if strays else now
+        place = F.struct("common", "key", "root")
+        center = ours.join(ranked.select("key", "common"), "key").groupBy("band").agg(F.max(place).alias("center"))
+        met = now.join(center, "band").where(F.col("root") != F.col("center.root"))
+        low, high = F.least("root", "center.root"), F.greatest("root", "center.root")
+        pairs = met.select(F.col("key").alias("a"), F.col("center.key").alias("b"), low.alias("ra"), high.alias("rb")).distinct()
+        found.append(pinned(_alike(pairs, items, to_set, percent).select("ra", "rb").distinct()))
+        now = pinned(_mixed(_moved(now.select("band", "key", "root"), found[-1].toDF("a", "b"))))
+    found.append(_alike(pinned(_apart(now, ranked, prints, percent)), items, to_set, percent).select("ra", "rb"))
+    return reduce(DataFrame.union, found).distinct().toDF("a", "b")
 
 
 def similar_lines(
@@ -119,7 +181,7 @@ def similar_lines(
     these links left in different components are searched for the rest. Buckets are summed up before the
     shuffle and joined back; only bounded tiles of them are gathered.
     """
-    signed = lines.select("key", bands(shingles("line", size), count, rows).alias("bands"))
+    signed = lines.select("key", bands(_places("line", size), count, rows).alias("bands"))
     signed = signed.select("key", *[F.col("bands")[j].alias(f"b{j}") for j in range(count)])
 
     def items(keys: DataFrame) -> DataFrame:
