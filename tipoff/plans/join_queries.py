@@ -18,6 +18,7 @@ from tipoff.plans.registry import (
     supplier_years,
     table,
 )
+from tipoff.session import pinned
 
 
 @query(
@@ -439,18 +440,19 @@ def fuzzy_lookup(spark, folder):
 def _sentence_names(spark, folder):
     """The first two words of every sentence, as names."""
     said = table(spark, folder, "documents").select(F.explode(F.split("text", "[.\\n]+")).alias("s"))
-    words = said.select(F.regexp_extract_all(F.lower("s"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 3)
-    return words.select(F.concat_ws(" ", F.slice("w", 1, 2)).alias("key")).distinct()
+    # a third word must follow
+    first = F.regexp_extract(F.lower("s"), "^[^a-z]*+([a-z]++[^a-z]++[a-z]++)[^a-z]++[a-z]", 1)
+    return said.select(first.alias("w")).where("w != ''").select(F.regexp_replace("w", "[^a-z]+", " ").alias("key")).distinct()
 
 
 @query("fuzzy_names")
 def fuzzy_names(spark, folder):
     """Names with one letter missing, looked up among all names of the documents (160,000 at the largest scale)."""
-    universe = _sentence_names(spark, folder)
+    universe = pinned(_sentence_names(spark, folder))  # the documents are read once
     at = (F.pmod(F.crc32("key"), F.length("key")) + 1).cast("int")
     cut = F.concat(F.substring("key", F.lit(1), at - 1), F.substring("key", at + 1, F.length("key")))
     asked = universe.select(F.col("key").alias("name"), cut.alias("key"))
-    found = X.best_matches(asked, universe, "key", floor=0.94, below=False)
+    found = X.best_matches(asked, universe, "key")
     return asked.join(found, "key", "left").select("name", "key", F.col("other").alias("match"), r6("score").alias("score"))
 
 
